@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from brindle.llm.conversations import turns
 from brindle.llm.encoding import encode
+from brindle.llm.near_duplicates import similar_groups, similar_pairs
 from brindle.session import table
 
 
@@ -11,9 +12,19 @@ def p3_found(spark, d):
     return turns(table(spark, d, "sample_messages_for_triage"), table(spark, d, "channel_clock"))
 
 
+def p4_found(spark, d):
+    rows = table(spark, d, "chunks").select("chunk_id", "text").toDF("id", "text")
+    return similar_pairs(rows, size=3, threshold=0.6).toDF("chunk_a", "chunk_b")
+
+
+def p4_groups(spark, d):
+    rows = table(spark, d, "chunks").select("chunk_id", "text").toDF("id", "text")
+    return similar_groups(rows, size=3, threshold=0.6).toDF("chunk_id", "group_id", "n_links")
+
+
 def p8_ids(spark, d):
     return encode(table(spark, d, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p8_ids": p8_ids}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p8_ids": p8_ids}
 SQL: dict[str, str] = {}
