@@ -28,7 +28,7 @@ from brindle.session import blocks, bounded_broadcast, checkpointed
 #: Bins of the corpus-wide n-gram counts that give the order; a fixed number, whatever the corpus.
 COUNT_BITS = 20
 #: Bits of the parity sketch.
-SKETCH = 256
+SKETCH = 512
 #: Pairs that a block's task holds at once.
 PAIRS_AT_ONCE = 4_000_000
 #: Rows up to which the keys of texts in candidate pairs are broadcast to fetch these texts; beyond, the join shuffles.
@@ -220,24 +220,26 @@ def similar_texts(texts: DataFrame, size: int = 5, threshold: float = 0.8) -> Da
     spread = named.mapInArrow(postings, "block int, blob binary").repartition(n_blocks, "block")
     pairs = checkpointed(spread.mapInArrow(lambda b: _product(b, threshold), "key_a long, key_b long").distinct())
 
-    def sets(batches):
-        for batch in batches:
-            own = [np.unique(shingle_hashes(t, size)).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["key", "grams"])
-
     involved = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
-    grams = named.join(bounded_broadcast(involved, BROADCAST_KEYS), "key", "left_semi").mapInArrow(sets, "key long, grams binary").distinct()
-    both = pairs.join(grams.select(F.col("key").alias("key_a"), F.col("grams").alias("grams_a")), "key_a")
-    both = both.join(grams.select(F.col("key").alias("key_b"), F.col("grams").alias("grams_b")), "key_b").select("key_a", "key_b", "grams_a", "grams_b")
+    own = named.join(bounded_broadcast(involved, BROADCAST_KEYS), "key", "left_semi").distinct()
+    both = pairs.join(own.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a")
+    both = both.join(own.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b").select("key_a", "key_b", "text_a", "text_b")
 
     def verify(batches):
         for batch in batches:
+            kept: dict[str, np.ndarray] = {}
+
+            def grams(text):
+                if text not in kept:
+                    kept[text] = np.unique(shingle_hashes(text, size))
+                return kept[text]
+
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             value = np.empty(len(a))
             for i in range(len(a)):
-                x, y = np.frombuffer(a[i], "<u8"), np.frombuffer(b[i], "<u8")
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                value[i] = shared / (len(x) + len(y) - shared)
+                x, y = grams(a[i]), grams(b[i])
+                shared = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                value[i] = shared / max(1, len(x) + len(y) - shared)
             keep = pa.array(value >= threshold - 1e-12)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value)], ["key_a", "key_b", "similarity"]).filter(keep)
 
