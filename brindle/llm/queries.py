@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from brindle.llm.conversations import turns
 from brindle.llm.encoding import encode
+from brindle.llm.leakage import leaks
 from brindle.llm.near_duplicates import similar_groups, similar_pairs
+from brindle.llm.subjects import SHARE, composition, shares
 from brindle.session import table
 
 
@@ -26,5 +28,21 @@ def p8_ids(spark, d):
     return encode(table(spark, d, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p8_ids": p8_ids}
+def p9_found(spark, d):
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("passage_words > 0").select("doc_id", "item_id")
+
+
+def p9_templates(spark, d):
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p10_found(spark, d):
+    return shares(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subjects")).where(f"share >= {SHARE}").select("doc_id", "subject")
+
+
+def p10_composition(spark, d):
+    return composition(p10_found(spark, d))
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p8_ids": p8_ids, "p9_found": p9_found, "p9_templates": p9_templates, "p10_found": p10_found, "p10_composition": p10_composition}
 SQL: dict[str, str] = {}
