@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from brindle.llm.boilerplate import furniture_lines, main_body, web_chunks
 from brindle.llm.conversations import turns
 from brindle.llm.encoding import encode
 from brindle.llm.leakage import leaks
@@ -24,6 +25,14 @@ def p4_groups(spark, d):
     return similar_groups(rows, size=3, threshold=0.6).toDF("chunk_id", "group_id", "n_links")
 
 
+def p5_found(spark, d):
+    return furniture_lines(web_chunks(table(spark, d, "chunks"), table(spark, d, "sources")))
+
+
+def p5_body(spark, d):
+    return main_body(web_chunks(table(spark, d, "chunks"), table(spark, d, "sources")))
+
+
 def p8_ids(spark, d):
     return encode(table(spark, d, "documents"))
 
@@ -44,5 +53,5 @@ def p10_composition(spark, d):
     return composition(p10_found(spark, d))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p8_ids": p8_ids, "p9_found": p9_found, "p9_templates": p9_templates, "p10_found": p10_found, "p10_composition": p10_composition}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_body": p5_body, "p8_ids": p8_ids, "p9_found": p9_found, "p9_templates": p9_templates, "p10_found": p10_found, "p10_composition": p10_composition}
 SQL: dict[str, str] = {}
