@@ -7,6 +7,7 @@ from brindle.llm.conversations import turns
 from brindle.llm.encoding import encode
 from brindle.llm.leakage import leaks
 from brindle.llm.near_duplicates import similar_groups, similar_pairs
+from brindle.llm.personal import personal_items, personal_texts, redacted
 from brindle.llm.subjects import SHARE, composition, shares
 from brindle.session import table
 
@@ -33,6 +34,18 @@ def p5_body(spark, d):
     return main_body(web_chunks(table(spark, d, "chunks"), table(spark, d, "sources")))
 
 
+def _personal(spark, d):
+    return personal_texts(*(table(spark, d, t) for t in ("sample_messages_for_triage", "sent_messages", "sample_email_thread", "chunks")))
+
+
+def p7_found(spark, d):
+    return personal_items(_personal(spark, d))
+
+
+def p7_redacted(spark, d):
+    return redacted(_personal(spark, d))
+
+
 def p8_ids(spark, d):
     return encode(table(spark, d, "documents"))
 
@@ -53,5 +66,5 @@ def p10_composition(spark, d):
     return composition(p10_found(spark, d))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_body": p5_body, "p8_ids": p8_ids, "p9_found": p9_found, "p9_templates": p9_templates, "p10_found": p10_found, "p10_composition": p10_composition}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_body": p5_body, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p9_templates": p9_templates, "p10_found": p10_found, "p10_composition": p10_composition}
 SQL: dict[str, str] = {}
