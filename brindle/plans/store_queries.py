@@ -1,2 +1,362 @@
-QUERIES = {}
-SQL = {}
+"""Queries of the text store and of message analytics, with their SQL where SQL can express them over whole tables.
+
+Where the tables have no such relation, a query reads one from the ``events`` or ``embeddings`` table by a fixed rule
+that its docstring and its SQL state alike.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from brindle.functions.text import SPACE, content_hash
+from brindle.operators import chunking, messages, store, threads, vectors, voice
+from brindle.session import table
+
+#: The moment that time-dependent queries take as now, in epoch seconds: 2026-10-01.
+NOW = 1_790_812_800.0
+#: Rows stored from then on count as incoming, in epoch seconds: 2026-01-01.
+SPLIT = 1_767_225_600.0
+
+
+def content_hash_dedup(spark, d):
+    return store.duplicate_classes(table(spark, d, "chunks"))
+
+
+def outdated_hashes(spark, d):
+    return store.outdated_hashes(table(spark, d, "chunks"))
+
+
+def _split(df):
+    return df.where(F.col("ingested_at") < SPLIT), df.where(F.col("ingested_at") >= SPLIT)
+
+
+def new_chunks(spark, d):
+    stored, incoming = _split(table(spark, d, "chunks"))
+    return store.new_chunks(incoming, stored).select("chunk_id", "source_id", "position")
+
+
+def upserted_sources(spark, d):
+    """Sources stored before SPLIT, after an ingest of every source of the later chunks under a changed title."""
+    chunks, sources = table(spark, d, "chunks"), table(spark, d, "sources")
+    stored, incoming = _split(chunks)
+    arriving = sources.withColumn("title", F.concat(F.coalesce("title", F.lit("")), F.lit(" (new)")))
+    merged = store.merge_sources(_split(sources)[0], arriving, store.new_chunks(incoming, stored), incoming, NOW)
+    return merged.select("source_id", "type", "title", "location", "ingested_at", "last_verified_at")
+
+
+def chunks_after_deletion(spark, d):
+    return store.delete_records(table(spark, d, "sources"), table(spark, d, "chunks"), table(spark, d, "deletion_log"))[1].select("chunk_id", "source_id")
+
+
+def sources_after_deletion(spark, d):
+    return store.delete_records(table(spark, d, "sources"), table(spark, d, "chunks"), table(spark, d, "deletion_log"))[0].select("source_id", "type")
+
+
+def source_chunk_counts(spark, d):
+    return store.chunk_counts(table(spark, d, "sources"), table(spark, d, "chunks"))
+
+
+def listed_sources(spark, d):
+    return store.listed(store.chunk_counts(table(spark, d, "sources"), table(spark, d, "chunks")), 50, "url")
+
+
+def store_status(spark, d):
+    return store.status(table(spark, d, "sources"), table(spark, d, "chunks"), table(spark, d, "contradiction_log"))
+
+
+def shown_sources(spark, d):
+    return store.shown(table(spark, d, "sources"), table(spark, d, "chunks"))
+
+
+def stale_sources(spark, d):
+    return store.stale(table(spark, d, "sources"), NOW, 30)
+
+
+def source_tags(spark, d):
+    return store.tagged(table(spark, d, "sources"))
+
+
+def logged_contradictions(spark, d):
+    return store.contradiction_pairs_logged(table(spark, d, "contradiction_log"))
+
+
+def chunked_documents(spark, d):
+    rows = table(spark, d, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id")).alias("source_id"), "text")
+    return chunking.chunked(rows).select("chunk_id", "source_id", "position", F.length("text").alias("n_chars"))
+
+
+def embedded_chunks(spark, d):
+    own = chunking.embedded(table(spark, d, "chunks").select("chunk_id", "text"))
+    return own.select("chunk_id", F.size("embedding").alias("n_dimensions"))
+
+
+def _queries(vecs):
+    return vecs.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+
+
+def _hits(spark, d, k):
+    vecs = table(spark, d, "embeddings")
+    return vectors.nearest(_queries(vecs), vecs, k)
+
+
+def knn_topk(spark, d):
+    return _hits(spark, d, 8)
+
+
+def knn_filtered(spark, d):
+    vecs = table(spark, d, "embeddings")
+    return vectors.nearest(_queries(vecs), vecs, 8, same_label=True)
+
+
+def near_duplicate_vectors(spark, d):
+    return vectors.near_duplicates(_hits(spark, d, 5), 0.35)
+
+
+def dropped_vectors(spark, d):
+    return vectors.dropped(near_duplicate_vectors(spark, d))
+
+
+def contradiction_pairs(spark, d):
+    """Near vectors whose documents, by vec_id = doc_id, differ in source and in having a negation."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), "source")
+    return vectors.contradictions(_hits(spark, d, 5), docs, 0.3)
+
+
+def query_confidence(spark, d):
+    return vectors.answer_confidence(_hits(spark, d, 8))
+
+
+def _triaged(spark, d):
+    rows = table(spark, d, "sample_messages_for_triage").groupBy("id").agg(F.min(F.struct("channel", "from", "from_id", "subject", "snippet", "received_at", "is_dm", "labels")).alias("m")).select("id", "m.*")
+    return messages.triage(rows, NOW, messages.TriageConfig(high_senders=("ximena",), low_senders=("bot",)))
+
+
+def triage_scores(spark, d):
+    return _triaged(spark, d).select("id", "score", "category")
+
+
+def triage_category_counts(spark, d):
+    return messages.category_counts(_triaged(spark, d))
+
+
+def triage_top(spark, d):
+    return messages.top_per_category(_triaged(spark, d), 5).select("category", "place", "id", "score")
+
+
+def _sent_items(spark, d):
+    """Events as sent items: sent at ts, answered a day before (event_id % 3 = 0) or a day after (= 1) it, internal for
+    event_id % 17 = 0, nudged ten days later for event_id % 5 = 0; now is ten days after the last event."""
+    e = table(spark, d, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    k = F.col("event_id") % 3
+    return e.select(
+        "event_id", F.col("at").alias("sent_at"), F.when(k == 0, F.col("at") - 86400).when(k == 1, F.col("at") + 86400).alias("last_inbound_at"),
+        (F.col("event_id") % 17 == 0).alias("is_internal"), F.when(F.col("event_id") % 5 == 0, F.col("at") + 864000).alias("already_nudged_at"),
+    )
+
+
+#: Now of the follow-up queries: 2024-01-31.
+FOLLOW_UP_NOW = 1_706_659_200.0
+
+
+def followup_scan(spark, d):
+    return messages.follow_ups(_sent_items(spark, d), FOLLOW_UP_NOW).where("reason is null").select("event_id", "score")
+
+
+def followup_skip_reasons(spark, d):
+    return messages.follow_ups(_sent_items(spark, d), FOLLOW_UP_NOW).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n_items"))
+
+
+def interval_conflicts(spark, d):
+    """Half-hour windows at the events with event_id % 50 = 0 against all other events as [ts, ts + value minutes)."""
+    e = table(spark, d, "events").withColumn("start", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    windows = e.where("event_id % 50 = 0").select(F.col("event_id").alias("window_id"), "start", (F.col("start") + 1800).alias("end"))
+    events = e.select("event_id", "start", (F.col("start") + F.coalesce("value", F.lit(0.0)) * 60).alias("end"))
+    return messages.conflicts(windows, events).where("window_id <> event_id")
+
+
+def approval_streaks(spark, d):
+    """Outcomes per user in order of (ts, event_id): a purchase is an unchanged approval, error and signup end a streak."""
+    e = table(spark, d, "events").where("event_type in ('purchase', 'error', 'signup')")
+    rows = e.select(F.col("user_id").alias("key"), F.to_date("ts").alias("period"), F.struct("ts", "event_id").alias("seq"), (F.col("event_type") == "purchase").alias("unchanged"))
+    return messages.streaks(rows).select(F.col("key").alias("user_id"), F.col("seq.event_id").alias("event_id"), "streak", "eligible")
+
+
+def _sent(spark, d):
+    """Sent messages with each id once, the least row of it."""
+    rows = table(spark, d, "sent_messages")
+    return rows.groupBy("sent_id").agg(F.min(F.struct("channel", "subject", "body", "to")).alias("m")).select("sent_id", "m.*")
+
+
+def message_templates(spark, d):
+    return messages.template_counts(table(spark, d, "sample_messages_for_triage").select(F.col("snippet").alias("text")))
+
+
+def pattern_best_match(spark, d):
+    counts = messages.template_counts(table(spark, d, "sample_messages_for_triage").select(F.col("snippet").alias("text"))).where("template <> ''")
+    return messages.best_patterns(counts.select(F.col("template").alias("draft")), counts.where("n_messages >= 3").select(F.col("template").alias("pattern")))
+
+
+def voice_global(spark, d):
+    return voice.profile(voice.features(_sent(spark, d)))
+
+
+def voice_by_recipient(spark, d):
+    return voice.per_recipient(_sent(spark, d))
+
+
+def voice_greetings(spark, d):
+    return voice.top_formulas(voice.features(_sent(spark, d)), "greeting")
+
+
+def voice_sign_offs(spark, d):
+    return voice.top_formulas(voice.features(_sent(spark, d)), "sign_off")
+
+
+def voice_fillers(spark, d):
+    return voice.top_fillers(_sent(spark, d))
+
+
+def _threads(spark, d):
+    """Threads with each id once, in its longest state."""
+    rows = table(spark, d, "sample_email_thread")
+    return rows.groupBy("id").agg(F.max(F.struct(F.size("messages").alias("n"), "subject", "participants", "messages", "user_intent")).alias("t")).select("id", "t.subject", "t.participants", "t.messages", "t.user_intent")
+
+
+def rendered_threads(spark, d):
+    return threads.rendered(_threads(spark, d)).select("id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("digest"))
+
+
+def last_messages(spark, d):
+    return threads.last_messages(_threads(spark, d), 6)
+
+
+def draft_topics(spark, d):
+    return threads.topics(_threads(spark, d))
+
+
+def reply_routes(spark, d):
+    return threads.routes(_threads(spark, d))
+
+
+def sensitive_threads(spark, d):
+    return threads.sensitive(_threads(spark, d))
+
+
+def action_items(spark, d):
+    return threads.action_items(_threads(spark, d), "noa.verel@")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        content_hash_dedup, outdated_hashes, new_chunks, upserted_sources, chunks_after_deletion, sources_after_deletion, source_chunk_counts, listed_sources, store_status,
+        shown_sources, stale_sources, source_tags, logged_contradictions, chunked_documents, embedded_chunks, knn_topk, knn_filtered, near_duplicate_vectors, dropped_vectors,
+        contradiction_pairs, query_confidence, triage_scores, triage_category_counts, triage_top, followup_scan, followup_skip_reasons, interval_conflicts, approval_streaks,
+        message_templates, pattern_best_match, voice_global, voice_by_recipient, voice_greetings, voice_sign_offs, voice_fillers, rendered_threads, last_messages, draft_topics,
+        reply_routes, sensitive_threads, action_items,
+    )
+}
+
+_HASH = f"substring(sha256(lower(trim(regexp_replace(coalesce(text, ''), '{SPACE}+', ' ', 'g'), ' '))), 1, 32)"
+_UNIT = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))"
+
+
+def _knn(k: int, condition: str = "true") -> str:
+    return f"""
+    SELECT query_id, vec_id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+      SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank
+      FROM (SELECT q.vec_id AS query_id, v.vec_id, {_UNIT} AS s FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND {condition})
+    ) WHERE rank <= {k}"""
+
+
+_PAIRS = "SELECT least(query_id, vec_id) AS id_a, greatest(query_id, vec_id) AS id_b, max(score) AS score FROM ({}) WHERE query_id <> vec_id AND score >= {} GROUP BY 1, 2"
+_NEGATED = "regexp_matches(lower(coalesce(text, '')), ' not | no | never | false|isn''t|aren''t|don''t|doesn''t|won''t|cannot|can''t')"
+_SENT_ITEMS = """
+  SELECT event_id, epoch_us(ts) / 1e6 AS sent_at, CASE event_id % 3 WHEN 0 THEN epoch_us(ts) / 1e6 - 86400 WHEN 1 THEN epoch_us(ts) / 1e6 + 86400 END AS last_in,
+    event_id % 17 = 0 AS internal, CASE WHEN event_id % 5 = 0 THEN epoch_us(ts) / 1e6 + 864000 END AS nudged FROM events"""
+_FOLLOW_UPS = f"""
+  SELECT event_id, ({FOLLOW_UP_NOW} - sent_at) / 86400 AS age, CASE WHEN sent_at IS NULL THEN 'no sent_at' WHEN ({FOLLOW_UP_NOW} - sent_at) / 86400 < 5 THEN 'too recent'
+    WHEN ({FOLLOW_UP_NOW} - sent_at) / 86400 > 21 THEN 'too old' WHEN internal THEN 'internal' WHEN last_in >= sent_at THEN 'already replied'
+    WHEN {FOLLOW_UP_NOW} - nudged < 7 * 86400 THEN 'recently nudged' END AS reason FROM ({_SENT_ITEMS})"""
+_ONCE = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY len(messages) DESC) AS place FROM sample_email_thread) WHERE place = 1"
+_LAST = "coalesce(messages[-1].body, '')"
+_TRIAGE = f"""
+  SELECT id, raw, CASE WHEN high AND question AND raw < 50 THEN 'respond_today' WHEN raw >= 70 THEN 'respond_now' WHEN raw >= 50 THEN 'respond_today' WHEN raw >= 30 THEN 'read_only' ELSE 'archive' END AS category,
+    CAST(greatest(0, least(100, raw)) AS INTEGER) AS score FROM (
+    SELECT id, high, question, 30 + CASE WHEN high THEN 25 ELSE 0 END - CASE WHEN contains(sender, 'bot') THEN 20 ELSE 0 END + CASE WHEN is_dm THEN 10 ELSE 0 END
+      + CASE WHEN list_has_any(list_transform(coalesce(labels, []), lambda x: lower(coalesce(x, ''))), ['@me', 'blocker', 'urgent']) THEN 15 ELSE 0 END
+      + CASE WHEN regexp_matches(subject || chr(10) || snippet, 'urgent|asap|blocker|blocking|by eod|by end of day|today|right now|deadline|as soon as possible') THEN 20 ELSE 0 END
+      + CASE WHEN question THEN 10 ELSE 0 END - CASE WHEN regexp_matches(subject, '^\\[no-?reply\\]|newsletter|weekly digest|^automatic reply') THEN 30 ELSE 0 END
+      + CASE WHEN hours < 2 THEN 5 WHEN hours > 48 THEN -10 ELSE 0 END AS raw
+    FROM (SELECT id, is_dm, labels, sender, contains(sender, 'ximena') AS high, lower(coalesce(subject, '')) AS subject, lower(coalesce(snippet, '')) AS snippet, contains(coalesce(snippet, ''), '?') AS question,
+        greatest(0, ({NOW} - coalesce(nullif(try_cast(received_at AS DOUBLE), 0), {NOW})) / 3600) AS hours
+      FROM (SELECT *, lower(coalesce(nullif(from_id, ''), "from", '')) AS sender, row_number() OVER (PARTITION BY id ORDER BY labels) AS place FROM sample_messages_for_triage) WHERE place = 1))"""
+_CLEAN = "lower(trim({}, ' '))"
+_DEAD = f"""
+  last_gone AS (SELECT {_CLEAN.format("kind")} AS kind, {_CLEAN.format("key")} AS key, max(deleted_at) AS gone FROM deletion_log GROUP BY 1, 2),
+  dead AS (SELECT source_id FROM sources s JOIN last_gone g ON g.kind = 'source' AND g.key = {_CLEAN.format("s.source_id")}
+    WHERE s.ingested_at <= g.gone AND g.key IN (SELECT {_CLEAN.format("source_id")} FROM chunks))"""
+
+SQL = {
+    "content_hash_dedup": f"SELECT {_HASH} AS content_hash, count(*) AS n_chunks, min(chunk_id) AS first_chunk_id FROM chunks WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "outdated_hashes": f"SELECT chunk_id, content_hash, {_HASH} AS actual_hash FROM chunks WHERE lower(trim(content_hash, ' ')) IS DISTINCT FROM {_HASH}",
+    "new_chunks": f"SELECT chunk_id, source_id, position FROM chunks WHERE ingested_at >= {SPLIT} AND {_HASH} NOT IN (SELECT {_HASH} FROM chunks WHERE ingested_at < {SPLIT})",
+    "upserted_sources": f"""
+      WITH fresh AS (SELECT DISTINCT source_id FROM chunks WHERE ingested_at >= {SPLIT} AND {_HASH} NOT IN (SELECT {_HASH} FROM chunks WHERE ingested_at < {SPLIT})),
+        arrived AS (SELECT DISTINCT source_id FROM chunks WHERE ingested_at >= {SPLIT}), stored AS (SELECT * FROM sources WHERE ingested_at < {SPLIT}),
+        coming AS (SELECT * FROM sources WHERE source_id IN (SELECT source_id FROM arrived))
+      SELECT coalesce(s.source_id, n.source_id) AS source_id, coalesce(s.type, n.type) AS type,
+        CASE WHEN n.source_id IS NOT NULL AND (s.source_id IS NULL OR n.source_id IN (SELECT source_id FROM fresh)) THEN coalesce(n.title, '') || ' (new)' ELSE s.title END AS title,
+        coalesce(s.location, n.location) AS location, coalesce(s.ingested_at, n.ingested_at) AS ingested_at,
+        CASE WHEN n.source_id IS NOT NULL THEN CAST({NOW} AS DOUBLE) ELSE s.last_verified_at END AS last_verified_at
+      FROM stored s FULL OUTER JOIN coming n ON s.source_id = n.source_id""",
+    "chunks_after_deletion": f"""WITH {_DEAD} SELECT chunk_id, source_id FROM chunks c
+      WHERE NOT EXISTS (SELECT 1 FROM dead d WHERE {_CLEAN.format("d.source_id")} = {_CLEAN.format("c.source_id")})
+        AND NOT EXISTS (SELECT 1 FROM last_gone g WHERE g.kind = 'chunk' AND g.key = {_CLEAN.format("c.chunk_id")} AND c.ingested_at <= g.gone)""",
+    "sources_after_deletion": f"WITH {_DEAD} SELECT source_id, type FROM sources WHERE source_id NOT IN (SELECT source_id FROM dead)",
+    "source_chunk_counts": "SELECT s.source_id, s.type, s.title, s.last_verified_at, count(c.chunk_id) AS n_chunks FROM sources s LEFT JOIN chunks c ON c.source_id = s.source_id GROUP BY 1, 2, 3, 4",
+    "listed_sources": """SELECT s.source_id, s.type, s.title, s.last_verified_at, count(c.chunk_id) AS n_chunks FROM sources s LEFT JOIN chunks c ON c.source_id = s.source_id
+      WHERE s.type = 'url' GROUP BY 1, 2, 3, 4 ORDER BY s.last_verified_at DESC, s.source_id LIMIT 50""",
+    "store_status": "SELECT (SELECT count(*) FROM sources) AS n_sources, (SELECT count(*) FROM chunks) AS n_chunks, (SELECT count(*) FROM contradiction_log WHERE resolution IS NULL) AS n_open_contradictions",
+    "shown_sources": """SELECT s.source_id, s.title, count(*) AS n_chunks, CAST(sum(length(c.text)) AS BIGINT) AS n_chars, (min(struct_pack(p := c.position, i := c.chunk_id))).i AS first_chunk_id
+      FROM sources s JOIN chunks c ON c.source_id = s.source_id GROUP BY 1, 2""",
+    "stale_sources": f"SELECT source_id, location, last_verified_at FROM sources WHERE type = 'url' AND last_verified_at < {NOW} - 30 * 86400",
+    "source_tags": "SELECT tag, count(DISTINCT source_id) AS n_sources FROM (SELECT source_id, lower(trim(unnest(tags), ' ')) AS tag FROM sources) WHERE tag <> '' GROUP BY tag",
+    "logged_contradictions": f"""
+      SELECT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b, count(*) AS n_times, min(detected_at) AS first_at, (max(struct_pack(t := detected_at, i := id, r := resolution))).r AS resolution
+      FROM (SELECT {_CLEAN.format("chunk_a")} AS a, {_CLEAN.format("chunk_b")} AS b, detected_at, id, {_CLEAN.format("resolution")} AS resolution FROM contradiction_log) WHERE a <> '' AND b <> '' GROUP BY 1, 2""",
+    "knn_topk": _knn(8),
+    "knn_filtered": _knn(8, "q.label = v.label"),
+    "near_duplicate_vectors": _PAIRS.format(_knn(5), 0.35),
+    "dropped_vectors": f"SELECT id_b AS id, count(*) AS n_pairs FROM ({_PAIRS.format(_knn(5), 0.35)}) GROUP BY id_b",
+    "contradiction_pairs": f"""SELECT id_a, id_b, score FROM ({_PAIRS.format(_knn(5), 0.3)}) p
+      JOIN (SELECT doc_id, source AS sa, {_NEGATED} AS na FROM documents) a ON a.doc_id = id_a JOIN (SELECT doc_id, source AS sb, {_NEGATED} AS nb FROM documents) b ON b.doc_id = id_b
+      WHERE sa IS DISTINCT FROM sb AND na <> nb""",
+    "query_confidence": f"""SELECT query_id, top_score, CASE WHEN top_score >= 0.75 THEN 'high' WHEN top_score >= 0.55 THEN 'medium' ELSE 'low' END AS confidence
+      FROM (SELECT query_id, greatest(0.0, max(score)) AS top_score FROM ({_knn(8)}) WHERE query_id <> vec_id GROUP BY query_id)""",
+    "triage_scores": f"SELECT id, score, category FROM ({_TRIAGE})",
+    "triage_category_counts": f"SELECT category, count(*) AS n_messages FROM ({_TRIAGE}) GROUP BY category",
+    "triage_top": f"SELECT category, CAST(place AS INTEGER) AS place, id, score FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, id) AS place FROM ({_TRIAGE})) WHERE place <= 5",
+    "followup_scan": f"SELECT event_id, CAST(trunc(least(100, 40 + (age - 5) * 6)) AS INTEGER) AS score FROM ({_FOLLOW_UPS}) WHERE reason IS NULL",
+    "followup_skip_reasons": f"SELECT reason, count(*) AS n_items FROM ({_FOLLOW_UPS}) WHERE reason IS NOT NULL GROUP BY reason",
+    "interval_conflicts": """
+      WITH e AS (SELECT event_id, epoch_us(ts) / 1e6 AS s, epoch_us(ts) / 1e6 + coalesce(value, 0) * 60 AS t FROM events)
+      SELECT w.event_id AS window_id, e.event_id FROM e w JOIN e ON e.s < w.s + 1800 AND e.t > w.s WHERE w.event_id % 50 = 0 AND e.s <= e.t AND e.event_id <> w.event_id""",
+    "approval_streaks": """
+      WITH r AS (SELECT user_id, event_id, ts, event_type = 'purchase' AS ok, sum(CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run
+        FROM events WHERE event_type IN ('purchase', 'error', 'signup')),
+      n AS (SELECT user_id, event_id, CAST(sum(CAST(ok AS INTEGER)) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS BIGINT) AS streak FROM r)
+      SELECT user_id, event_id, streak, streak >= 3 AS eligible FROM n""",
+    "last_messages": f"""SELECT id, CAST(i - 1 AS INTEGER) AS place, messages[i]."from" AS sender
+      FROM (SELECT id, messages, unnest(range(greatest(len(messages) - 6, 0) + 1, len(messages) + 1)) AS i FROM ({_ONCE}))""",
+    "reply_routes": f"""SELECT id, CASE WHEN len(coalesce(participants, [])) >= 3 AND contains({_LAST}, '?') THEN 'reply_all' ELSE 'reply' END AS route, coalesce(messages[-1]."from", '') AS reply_to FROM ({_ONCE})""",
+    "sensitive_threads": f"SELECT id FROM ({_ONCE}) WHERE regexp_matches(lower({_LAST}), 'wire|iban|ssn|social security|credit card|password|api key|secret')",
+    "draft_topics": f"""
+      WITH t AS (SELECT id, list_filter([coalesce(subject, ''), coalesce(user_intent, ''), substring(trim(regexp_replace({_LAST}, '{SPACE}+', ' ', 'g'), ' '), 1, 300)], lambda x: x <> '') AS l FROM ({_ONCE})),
+      u AS (SELECT id, list_filter(l, lambda x, i: NOT list_contains(list_transform(l[1:i - 1], lambda y: lower(y)), lower(x))) AS l FROM t)
+      SELECT id, CAST(i - 1 AS INTEGER) AS place, l[i] AS topic FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM u)""",
+    "rendered_threads": f"""
+      WITH r AS (SELECT id, trim('Subject: ' || coalesce(subject, '') || chr(10) || 'Participants: ' || array_to_string(coalesce(participants, []), ', ') || CASE WHEN len(messages) > 0 THEN chr(10) || array_to_string(list_transform(messages,
+        lambda m: 'From: ' || coalesce(m."from", '') || chr(10) || 'Date: ' || coalesce(m.date, '') || chr(10) || coalesce(m.body, '') || chr(10) || '---'), chr(10)) ELSE chr(10) END, ' ') AS text FROM ({_ONCE}))
+      SELECT id, CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS digest FROM r""",
+}
