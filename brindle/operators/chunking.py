@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.text import content_hash, source_id
+from brindle.session import skipping_empty
 
 TARGET, OVERLAP, LEAST = 1200, 150, 80
 DIMENSIONS = 64
@@ -59,7 +60,7 @@ def chunked(documents: DataFrame, target: int = TARGET, overlap: int = OVERLAP)
             rows = [(s, i, c) for s, t in zip(pdf["source_id"], pdf["text"], strict=True) for i, c in enumerate(chunk(t if isinstance(t, str) else None, target, overlap))]
             yield pd.DataFrame(rows, columns=["source_id", "position", "text"])
 
-    out = documents.select("source_id", "text").mapInPandas(run, "source_id string, position int, text string").withColumn("content_hash", content_hash(F.col("text")))
+    out = documents.select("source_id", "text").mapInPandas(skipping_empty(run), "source_id string, position int, text string").withColumn("content_hash", content_hash(F.col("text")))
     return out.withColumn("chunk_id", F.sha2(F.concat_ws("|", "source_id", F.col("position").cast("string"), "content_hash"), 256))
 
 
@@ -86,7 +87,7 @@ def embedded(chunks: DataFrame, model=embed) -> DataFrame:
         for pdf in batches:
             yield pdf.assign(embedding=list(model([t if isinstance(t, str) else None for t in pdf["text"]])))
 
-    return chunks.mapInPandas(run, schema)
+    return chunks.mapInPandas(skipping_empty(run), schema)
 
 
 def ingested(documents: DataFrame, kind: str, key: str = "location") -> tuple[DataFrame, DataFrame]:

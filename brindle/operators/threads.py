@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.text import SENSITIVE_TERMS, any_of, collapsed
+from brindle.session import skipping_empty
 
 # Patterns of requests, commitments and deadlines, and phrases that void them.
 REQUESTS = (
@@ -133,4 +134,4 @@ def action_items(threads: DataFrame, user: str = "") -> DataFrame:
                 out += [(key, index, i, *item) for i, item in enumerate(items_of(body if isinstance(body, str) else None, mine))]
             yield pd.DataFrame(out, columns=["id", "msg_index", "place", "kind", "text", "owner", "deadline"])
 
-    return rows.mapInPandas(run, "id string, msg_index int, place int, kind string, text string, owner string, deadline string")
+    return rows.mapInPandas(skipping_empty(run), "id string, msg_index int, place int, kind string, text string, owner string, deadline string")

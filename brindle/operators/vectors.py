@@ -6,6 +6,8 @@ block and keeps the best ``k`` per query and batch, so what is shuffled is at mo
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import has_negation
 from brindle.operators.store import confidence
+from brindle.session import skipping_empty
 
 #: Queries of one block; with 1,024 dimensions of 4 bytes it is 16 MB at each task.
 QUERIES_AT_ONCE = 4096
@@ -38,7 +41,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 8, same_label: bool
     stored = usable(vectors).select("vec_id", "embedding", label)
     out, schema = None, "query_id long, vec_id long, score double"
     while True:
-        part = [r for r, _ in zip(rows, range(QUERIES_AT_ONCE))]
+        part = list(islice(rows, QUERIES_AT_ONCE))
         if not part and out is not None:
             break
         block = spark.sparkContext.broadcast((np.array([r[0] for r in part], np.int64), _unit([r[1] for r in part]) if part else None, np.array([r[2] for r in part])))
@@ -57,7 +60,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 8, same_label: bool
                 found = pd.DataFrame({"query_id": np.repeat(ids, top), "vec_id": own[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
                 yield found[np.isfinite(found["score"])]
 
-        own = stored.mapInPandas(run, schema)
+        own = stored.mapInPandas(skipping_empty(run), schema)
         out = own if out is None else out.unionByName(own)
         if len(part) < QUERIES_AT_ONCE:
             break

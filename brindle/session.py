@@ -55,6 +55,17 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def skipping_empty(run):
+    """A ``mapInPandas`` function without its empty frames, whose columns may lack the types that Arrow needs."""
+
+    def some(batches):
+        for frame in run(batches):
+            if len(frame):
+                yield frame
+
+    return some
+
+
 def blocks(spark: SparkSession, least: int = 1) -> int:
     """Number of hash blocks for work that is spread by hand: that of the shuffle partitions of the session."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

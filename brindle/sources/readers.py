@@ -7,6 +7,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from brindle.session import skipping_empty
 from pyspark.sql import types as T
 
 # Suffixes that a folder scan takes, and tags whose content is no text.
@@ -59,7 +61,7 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((place, None, f"{type(e).__name__}: {e}"[:500]))
             yield pd.DataFrame(rows, columns=["location", "text", "error"])
 
-    return files.select("path", "content").mapInPandas(run, "location string, text string, error string").withColumn("title", stem(F.col("location")))
+    return files.select("path", "content").mapInPandas(skipping_empty(run), "location string, text string, error string").withColumn("title", stem(F.col("location")))
 
 
 def extract(suffix: str, content: bytes) -> str:
