@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.session import bounded_broadcast
+from brindle.session import bounded_broadcast, skipping_empty
 
 LABELLED = Path(__file__).with_name("page_blocks.tsv")
 #: Rows of the labelled table that are read at most.
@@ -237,7 +237,7 @@ def furniture_lines(pages: DataFrame, labelled: str | Path = LABELLED) -> DataFr
             sizes = [len(f) for f in found]
             yield pd.DataFrame({"chunk_id": np.repeat(pdf["chunk_id"].to_numpy(object), sizes), "line_no": np.array([n for f in found for n in f], np.int32)})
 
-    return pages.select("chunk_id", "text").mapInPandas(run, "chunk_id string, line_no int")
+    return pages.select("chunk_id", "text").mapInPandas(skipping_empty(run), "chunk_id string, line_no int")
 
 
 def main_body(pages: DataFrame, labelled: str | Path = LABELLED) -> DataFrame:
@@ -251,6 +251,6 @@ def main_body(pages: DataFrame, labelled: str | Path = LABELLED) -> DataFrame:
             for text, bad in zip(texts, furniture(texts, tree.value), strict=True):
                 drop = set(bad)
                 bodies.append(None if text is None else "\n".join(line for i, line in enumerate(text.split("\n"), 1) if i not in drop))
-            yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "body": pd.Series(bodies, dtype=object)})
+            yield pd.DataFrame({"chunk_id": pdf["chunk_id"].to_numpy(object), "body": pd.Series(bodies, dtype=object)})
 
-    return pages.select("chunk_id", "text").mapInPandas(run, "chunk_id string, body string")
+    return pages.select("chunk_id", "text").mapInPandas(skipping_empty(run), "chunk_id string, body string")

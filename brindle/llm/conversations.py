@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.timestamps import utc_us
 from brindle.operators.instants import with_clock
-from brindle.session import blocks, bounded_broadcast, checkpointed
+from brindle.session import blocks, bounded_broadcast, checkpointed, skipping_empty
 
 #: Automaton: a set of seen events. ``ACCEPT`` is the only accepting state; ``BROKEN`` is absorbing.
 USER, CONTACT, BROKEN = 1, 2, 4
@@ -78,13 +78,13 @@ def _count_slices(batches):
     for pdf in batches:
         if not len(pdf):
             continue
-        ids = pdf["thread_id"]
+        ids = pdf["thread_id"].to_numpy(object)
         local = pdf.groupby("thread_id", sort=False).cumcount().to_numpy() + 1
-        first = (ids == last).to_numpy()
+        first = ids == last
         local = local + first * n
-        last = ids.iloc[-1]
+        last = ids[-1]
         n = int(local[-1])
-        yield pd.DataFrame({"thread_id": ids, "id": pdf["id"], "event": pdf["event"], "part": part, "local": local.astype("int32")})
+        yield pd.DataFrame({"thread_id": ids, "id": pdf["id"].to_numpy(object), "event": pdf["event"].to_numpy(), "part": part, "local": local.astype("int32")})
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def numbered(rows: DataFrame) -> DataFrame:
     slice its offset.
     """
     ordered = rows.repartitionByRange(blocks(rows.sparkSession), "thread_id", "at", "id").sortWithinPartitions("thread_id", "at", "id")
-    local = checkpointed(ordered.mapInPandas(_count_slices, "thread_id string, id string, event int, part int, local int"))
+    local = checkpointed(ordered.mapInPandas(skipping_empty(_count_slices), "thread_id string, id string, event int, part int, local int"))
     slices = local.groupBy("thread_id", "part").agg(F.max("local").alias("n"))
     # A conversation has at most as many slices as there are partitions; the list of them is small.
     lists = slices.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("part", "n"))).alias("s")).where(F.size("s") > 1)

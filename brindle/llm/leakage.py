@@ -12,6 +12,7 @@ import html
 import re
 import unicodedata
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.session import skipping_empty
+
 #: Words of a template window. A passage of 15 words or more with one edit in ten keeps an unedited run of six.
 WINDOW = 5
 #: Agreeing windows that such a run has at least.
@@ -237,7 +240,7 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 15, per_edit: int
     out = None
     rows = items.select("item_id", "text").where("text is not null").distinct().toLocalIterator()
     while True:
-        part = [(r["item_id"], r["text"]) for r, _ in zip(rows, range(ITEMS_AT_ONCE))]
+        part = [(r["item_id"], r["text"]) for r in islice(rows, ITEMS_AT_ONCE)]
         if not part and out is not None:
             break
         index = spark.sparkContext.broadcast(ItemIndex(part))
@@ -248,7 +251,7 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 15, per_edit: int
                 found = index.value.search(pdf["text"].tolist(), least, per_edit)
                 yield pd.DataFrame([(int(ids[d]), i, n, o) for d, i, n, o in found], columns=["doc_id", "item_id", "passage_words", "reparameterised"])
 
-        own = texts.mapInPandas(run, schema)
+        own = texts.mapInPandas(skipping_empty(run), schema)
         out = own if out is None else out.unionByName(own)
         if len(part) < ITEMS_AT_ONCE:
             break

@@ -90,7 +90,8 @@ def _bin_counts(texts: DataFrame, size: int) -> np.ndarray:
         return pd.DataFrame({"b": [int(pdf["b"].iloc[0])], "scale": [scale.tobytes()]})
 
     parts = texts.select("text").mapInArrow(count, "b long, counts binary").groupBy("b").applyInPandas(merge, "b long, scale binary")
-    return np.concatenate([np.frombuffer(r["scale"], np.uint8) for r in sorted(parts.collect(), key=lambda r: r["b"])])
+    found = sorted(parts.collect(), key=lambda r: r["b"])
+    return np.concatenate([np.frombuffer(r["scale"], np.uint8) for r in found]) if found else np.zeros(bins, np.uint8)
 
 
 def _emit(keys, texts, scale, size: int, threshold: float, n_blocks: int, seen: set):
@@ -270,11 +271,11 @@ def similar_pairs(rows: DataFrame, size: int = 5, threshold: float = 0.8) -> Dat
 def similar_groups(rows: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per id of (id, text): (id, group_id, n_links); group_id is the least id of its group of linked texts.
 
-    n_links counts the different texts that a row's text is linked to; copies of its own text are not counted. A row
-    without any link is a group of its own. Groups are the connected components of the links, found by passing on the
+    n_links counts the different texts that a row's text is linked to; copies of its own text are not counted, but share
+    its group, also where the text is empty or too short for any n-gram. A null text is a group of its own. Groups are the connected components of the links, found by passing on the
     least label and following labels of labels, with a checkpoint in each round.
     """
-    members = rows.select("id", "text").where(F.col("id").isNotNull()).withColumn("key", F.coalesce(F.xxhash64("text"), F.xxhash64("id")))
+    members = rows.select("id", "text").where(F.col("id").isNotNull()).withColumn("key", F.when(F.col("text").isNull(), F.xxhash64("id")).otherwise(F.xxhash64("text")))
     links = checkpointed(similar_texts(members.select("text"), size, threshold).select("key_a", "key_b"))
     ways = links.select("key_a", "key_b").union(links.select("key_b", "key_a")).toDF("key", "other").distinct()
     labels = checkpointed(ways.groupBy("key").agg(F.least(F.min("other"), F.first("key")).alias("label")))

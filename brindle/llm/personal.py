@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.session import skipping_empty
+
 LABELLED = Path(__file__).with_name("personal_labels.jsonl")
 MODEL = Path(__file__).with_name("personal_model.npz")
 #: Rows of the labelled table that are read at most.
@@ -375,10 +377,10 @@ def personal_items(texts: DataFrame, model: str = str(MODEL)) -> DataFrame:
         for pdf in batches:
             found = field.find(_arrays(pdf))
             sizes = [len(f) for f in found]
-            own = {c: np.repeat(pdf[c].to_numpy(), sizes) for c in ("ref_table", "record_id", "msg_index")}
-            yield pd.DataFrame(own | {"pii_type": [k for f in found for _, _, k in f], "start_pos": np.array([a for f in found for a, _, _ in f], np.int32)})
+            own = {c: np.repeat(pdf[c].to_numpy(object), sizes) for c in ("ref_table", "record_id", "msg_index")}
+            yield pd.DataFrame(own | {"pii_type": pd.Series([k for f in found for _, _, k in f], dtype=object), "start_pos": np.array([a for f in found for a, _, _ in f], np.int32)})
 
-    return texts.mapInPandas(run, "ref_table string, record_id string, msg_index int, pii_type string, start_pos int").distinct()
+    return texts.mapInPandas(skipping_empty(run), "ref_table string, record_id string, msg_index int, pii_type string, start_pos int").distinct()
 
 
 def redacted(texts: DataFrame, model: str = str(MODEL)) -> DataFrame:
@@ -397,6 +399,7 @@ def redacted(texts: DataFrame, model: str = str(MODEL)) -> DataFrame:
         field = load(model)
         for pdf in batches:
             own = _arrays(pdf)
-            yield pdf[["ref_table", "record_id", "msg_index"]].assign(text=pd.Series([clean(t, f) for t, f in zip(own, field.find(own), strict=True)], dtype=object, index=pdf.index))
+            texts = [clean(t, f) for t, f in zip(own, field.find(own), strict=True)]
+            yield pd.DataFrame({c: pdf[c].to_numpy(object) for c in ("ref_table", "record_id", "msg_index")} | {"text": pd.Series(texts, dtype=object)})
 
-    return texts.mapInPandas(run, "ref_table string, record_id string, msg_index int, text string")
+    return texts.mapInPandas(skipping_empty(run), "ref_table string, record_id string, msg_index int, text string")

@@ -17,12 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.session import skipping_empty
+
 #: Labelled documents per subject that the models are fitted on; the least by a hash of the id. Bounds the model.
 SAMPLE_PER_SUBJECT = 600
 #: Occurrences at which a word's own counts weigh as much as the background's, and followers that every history has on top.
 UNIGRAM_K, BIGRAM_K = 8.0, 20.0
-#: Nats that a sentence must save against the background to be about a subject.
-ACCEPT = 2.5
+#: What a sentence must save against the background to be about a subject, in units of what one certain word saves.
+ACCEPT = 1.2
 #: Words of a sentence that counts as running text.
 LEAST_WORDS = 4
 #: Share of the running text from which a document is about a subject.
@@ -123,7 +125,7 @@ class SubjectModels:
             return np.empty(0, np.int64)
         best = saved.argmax(axis=1)
         at = np.arange(len(best))
-        good = saved[at, best] >= ACCEPT
+        good = saved[at, best] >= ACCEPT * np.log(max(2, len(self.subjects)))
         return np.where(good if allowed is None else good & allowed[at, best], best, -1)
 
 
@@ -195,7 +197,7 @@ def shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> Data
                 by = pd.concat(out)
                 yield pd.DataFrame({"doc_id": ids[by["doc"]], "subject": [own.subjects[s] for s in by["subject"]], "share": by["share"]})
 
-    return documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(run, "doc_id long, subject string, share double")
+    return documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(skipping_empty(run), "doc_id long, subject string, share double")
 
 
 def composition(found: DataFrame) -> DataFrame:
