@@ -38,7 +38,9 @@ _LINK = re.compile(r"\]\([^)\s]*\)")
 _PREFIX = re.compile(r"^[ \t]*(?:(?:[>|#+•»*\-]+|\d{1,3}[.):](?=\s)|[A-Z]{1,4}>|//)[ \t]*)+", re.M)
 _BROKEN = re.compile(r"(?<=\w)-\s*\n\s*(?=\w)")
 _WORD = re.compile(r"[^\W_]+(?:(?:[-'’]|(?<=\d)[.,](?=\d))[^\W_]+)*")
-_MARKS = str.maketrans("", "", "*_`~")
+_MARKS = "*_`~"
+# Characters of Unicode's format class.
+_INVISIBLE = re.compile("[\u00ad\u0600-\u0605\u061c\u06dd\u070f\u0890\u0891\u08e2\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff\ufff9-\ufffb\U000e0001\U000e0020-\U000e007f]")
 _NUMBER, _CODE = re.compile(r"\d+(?:[.,]\d+)*"), re.compile(r"[a-z]{1,4}-\d+")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
 
@@ -48,14 +50,16 @@ def words_of(text: str | None) -> list[str]:
     if not text:
         return []
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf")
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
         text = _TAG.sub("", text)
     if "](" in text:
         text = _LINK.sub("", text)
-    text = _PREFIX.sub("", text.replace("\r", "")).translate(_MARKS)
+    text = _PREFIX.sub("", text.replace("\r", ""))
+    for mark in _MARKS:
+        text = text.replace(mark, "")
     if "-\n" in text or "- \n" in text:
         text = _BROKEN.sub("-", text)
     return _WORD.findall(text.lower())
@@ -206,22 +210,21 @@ class ItemIndex:
         entry = np.repeat(low[hit], count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
         same = self.raws[entry] == raw_windows[hit[which]]
         table = pd.DataFrame({"doc": doc[which], "owner": self.owners[entry], "at": hit[which], "place": self.places[entry], "same": same})
-        out = []
-        for (d, owner), group in table.groupby(["doc", "owner"], sort=False):
-            agree = group[group["same"]]
-            item_id, item = self.items[owner]
-            longest = 0
-            if len(agree) >= RUN_WINDOWS:
-                start = int(ends[d] - n_words[d])
-                at, place = agree["at"].to_numpy() - start, agree["place"].to_numpy()
-                gaps = np.flatnonzero(np.diff(at) > len(item) + 20) + 1
-                for a, b in zip([0, *gaps], [*gaps, len(at)], strict=True):
-                    # The item's words before and after the hits, with room for added ones.
-                    first = max(0, int((at[a:b] - place[a:b]).min()) - len(item) // 5)
-                    last = int((at[a:b] + len(item) - place[a:b]).max()) + len(item) // 5
-                    longest = max(longest, longest_passage(item, rows[d][first:last], least, per_edit))
-            out.append((int(d), item_id, longest, int((~group["same"]).sum())))
-        return out
+        pair = ["doc", "owner"]
+        counts = table.groupby(pair, sort=False)["same"].agg(["sum", "size"])
+        longest = dict.fromkeys(counts.index[counts["sum"] >= RUN_WINDOWS], 0)
+        agreeing = table[table["same"]]
+        agreeing = agreeing[agreeing.groupby(pair)["same"].transform("size") >= RUN_WINDOWS]
+        for (d, owner), agree in agreeing.groupby(pair, sort=False):
+            item, start = self.items[owner][1], int(ends[d] - n_words[d])
+            at, place = agree["at"].to_numpy() - start, agree["place"].to_numpy()
+            gaps = np.flatnonzero(np.diff(at) > len(item) + 20) + 1
+            for a, b in zip([0, *gaps], [*gaps, len(at)], strict=True):
+                # The item's words before and after the hits, with room for added ones.
+                first = max(0, int((at[a:b] - place[a:b]).min()) - len(item) // 5)
+                last = int((at[a:b] + len(item) - place[a:b]).max()) + len(item) // 5
+                longest[d, owner] = max(longest[d, owner], longest_passage(item, rows[d][first:last], least, per_edit))
+        return [(int(d), self.items[o][0], longest.get((d, o), 0), int(n - same)) for (d, o), same, n in zip(counts.index, counts["sum"], counts["size"], strict=True)]
 
 
 def leaks(documents: DataFrame, items: DataFrame, least: int = 15, per_edit: int = 10) -> DataFrame:

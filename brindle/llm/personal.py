@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from itertools import accumulate
 from pathlib import Path
 
 import numpy as np
@@ -34,23 +35,37 @@ REACH = 3
 #: Tokens of a segment that is decoded as one sequence.
 SEGMENT = 64
 #: Characters whose tokens are held at once, and token types that a worker keeps.
-CHARS_AT_ONCE, TYPES = 3_000_000, 400_000
+CHARS_AT_ONCE, TYPES = 1_500_000, 400_000
 
 _TOKEN = re.compile(
     r"https?://\S+|www\.[\w.-]+|[^\W_][\w.+-]*@[\w-]+(?:\.[\w-]+)+|[^\W\d_]{2}>|[\[(](?:at|dot|AT|DOT|At|Dot)[\])]|\+?\d+(?:[.,:/-]\d+)*[^\W\d_]*"
-    r"|[^\W_]+(?:[.'’+_-][^\W_]+)*[̀-ͯ]*[^\W_]*|\r?\n(?:[\r\n \t>|]|&gt;|[^\W\d_]{2}>)*|&gt;|[^\w\s]|_"
+    r"|[^\W_]+(?:[.'’+_-][^\W_]+)*[̀-ͯ]*[^\W_]*|\r?\n(?:[\r\n \t>|]|&gt;|[^\W\d_]{2}>)*|&gt;|[^\w\s]|_|[^\S\r\n]+|\r"
 )
 _RUNS = re.compile(r"[A-ZÀ-ÖØ-Þ]+|[^\W\d_]+|\d+")
 _ENDS = frozenset(".!?")
+#: What a piece of white space within a line may begin with.
+_BLANK = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() and c not in "\r\n")
+
+
+def pieces_of(text: str) -> list[str]:
+    """Tokens and the white space between them; together they are the text. Line breaks with the quote marks after them
+    are one token."""
+    return _TOKEN.findall(text)
+
+
+def words_of(pieces: list[str]) -> list[str]:
+    return [p for p in pieces if p[0] not in _BLANK]
+
+
+def places_of(pieces: list[str]) -> list[int]:
+    """First characters of the words among the pieces."""
+    return [end - len(p) for p, end in zip(pieces, accumulate(map(len, pieces)), strict=True) if p[0] not in _BLANK]
 
 
 def tokens_of(text: str) -> tuple[list[str], list[int]]:
-    """(tokens, their first characters). Line breaks with the quote marks after them are one token."""
-    words, places = [], []
-    for m in _TOKEN.finditer(text):
-        words.append(m.group())
-        places.append(m.start())
-    return words, places
+    """(tokens, their first characters)."""
+    pieces = pieces_of(text)
+    return words_of(pieces), places_of(pieces)
 
 
 def shape(token: str) -> str:
@@ -102,6 +117,17 @@ def segments_of(words: list[str]) -> list[int]:
     return ends
 
 
+class _Types(dict):
+    """Token to the row of its type."""
+
+    def __init__(self, field: Field):
+        super().__init__()
+        self.field = field
+
+    def __missing__(self, token: str) -> int:
+        return self.field.type_of(token)
+
+
 class Field:
     """Weights and decoding. weights: (2 * REACH + 1, features, K)."""
 
@@ -115,7 +141,7 @@ class Field:
         self.forget()
 
     def forget(self) -> None:
-        self.types: dict[str, int] = {}
+        self.types = _Types(self)
         self.keys: dict[tuple, int] = {}
         self.rows = np.zeros((1024, 2 * REACH + 1, K), np.float32)
 
@@ -134,14 +160,10 @@ class Field:
         """Scores of all tokens of all texts, in a row. Texts are apart by ``REACH`` places without features."""
         if len(self.types) > TYPES:
             self.forget()
-        known = self.types
-        flat, sizes = [], []
+        known, flat = self.types.__getitem__, []
         for words in texts:
-            for w in words:
-                t = known.get(w)
-                flat.append(self.type_of(w) if t is None else t)
-            sizes.append(len(words))
-        sizes = np.array(sizes, np.int64)
+            flat.extend(map(known, words))
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         n = len(flat)
         total = n + REACH * (len(texts) + 1)
         blank = len(self.keys)
@@ -178,6 +200,7 @@ class Field:
     def viterbi(self, scores: np.ndarray, begins: np.ndarray, ends: np.ndarray, out: np.ndarray) -> None:
         sizes = ends - begins
         order = np.argsort(-sizes, kind="stable")
+        into = np.ascontiguousarray(self.transitions.T)
         for part in np.array_split(order, max(1, len(order) // 4096)):
             if not len(part):
                 continue
@@ -189,9 +212,10 @@ class Field:
             for t in range(1, steps):
                 m = int(np.searchsorted(-n, -t, side="left"))  # sequences longer than t
                 final[m : len(best)] = best[m:]
-                ways = best[:m, :, None] + self.transitions
-                back[t, :m] = ways.argmax(axis=1)
-                best = ways.max(axis=1) + scores[b[:m] + t]
+                ways = best[:m, None, :] + into
+                way = ways.argmax(axis=2)
+                back[t, :m] = way
+                best = np.take_along_axis(ways, way[:, :, None], axis=2)[:, :, 0] + scores[b[:m] + t]
             final[: len(best)] = best
             label = final.argmax(axis=1)
             for t in range(steps - 1, -1, -1):
@@ -209,9 +233,11 @@ class Field:
             while stop < len(texts) and (stop == start or size + len(texts[stop] or "") <= CHARS_AT_ONCE):
                 size += len(texts[stop] or "")
                 stop += 1
-            cut = [tokens_of(t) if t else ([], []) for t in texts[start:stop]]
-            for (words, places), labels in zip(cut, self.labels([w for w, _ in cut]), strict=True):
+            cut = [pieces_of(t) if t else [] for t in texts[start:stop]]
+            split = [words_of(pieces) for pieces in cut]
+            for pieces, words, labels in zip(cut, split, self.labels(split), strict=True):
                 items = []
+                places = places_of(pieces) if labels.any() else []
                 for i in np.flatnonzero(labels):
                     label = int(labels[i])
                     kind = KINDS[(label - 1) // 2]
