@@ -92,7 +92,7 @@ def lines_of(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences: cut after . ! ? followed by white space."""
-    return F.filter(F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def has_negation(text: Column) -> Column:

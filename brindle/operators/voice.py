@@ -19,7 +19,7 @@ def own_text(body: Column) -> Column:
 
 
 def _filled(text: Column) -> Column:
-    return F.filter(F.transform(lines_of(text), F.trim), lambda x: x != "")
+    return F.filter(F.transform(lines_of(text), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def greeting(text: Column) -> Column:
