@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brindle.functions.text import SPACE, content_hash
+from brindle.functions.text import CONTRACTIONS, EMOJI, FILLERS, GREETINGS, SIGN_OFFS, SIGNATURE_STARTS, SPACE
 from brindle.operators import chunking, messages, store, threads, vectors, voice
 from brindle.session import table
 
@@ -297,7 +297,33 @@ _DEAD = f"""
   dead AS (SELECT source_id FROM sources s JOIN last_gone g ON g.kind = 'source' AND g.key = {_CLEAN.format("s.source_id")}
     WHERE s.ingested_at <= g.gone AND g.key IN (SELECT {_CLEAN.format("source_id")} FROM chunks))"""
 
+_any = lambda words: "|".join(w.replace("'", "''") for w in words)
+_LINES = r"string_split_regex({}, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]')"
+_TEXTS = rf"""
+  SELECT sent_id, "to", rtrim(regexp_replace(array_to_string(CASE WHEN ends > 0 THEN lines[1:ends - 1] ELSE lines END, chr(10)), '\s+$', ''), ' ') AS text FROM (
+    SELECT sent_id, "to", lines, coalesce(list_position(list_transform(lines, lambda x: regexp_matches(x, '^\s*>') OR (starts_with(lower(trim(x, ' ')), 'on ') AND contains(lower(trim(x, ' ')), ' wrote:'))
+      OR regexp_matches(lower(trim(x, ' ')), '^(?:{_any(SIGNATURE_STARTS)})')), true), 0) AS ends
+    FROM (SELECT sent_id, "to", {_LINES.format("coalesce(body, '')")} AS lines FROM (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY channel NULLS FIRST, subject NULLS FIRST, body NULLS FIRST, "to" NULLS FIRST) AS place FROM sent_messages) WHERE place = 1))"""
+_COUNTED = rf"""
+  SELECT sent_id, "to", text, len(regexp_extract_all(lower(text), '[a-z'']+')) AS words, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[\s\x0B\x{{85}}\p{{Z}}]+', '\1' || chr(1), 'g'), chr(1)),
+      lambda x: len(regexp_extract_all(lower(x), '[a-z'']+'))), lambda n: n > 0) AS sizes, len(regexp_extract_all(text, '{EMOJI}')) AS emoji,
+    len(regexp_extract_all(lower(text), '\b(?:{_any(CONTRACTIONS)})\b')) AS contractions, contains(text, '—') AS em_dash,
+    list_filter(list_transform({_LINES.format("text")}, lambda x: trim(x, ' ')), lambda x: x <> '') AS filled FROM ({_TEXTS})"""
+_PROFILE = """count(*) AS sample_count, avg(CAST(words AS DOUBLE)) AS avg_words_per_message, sum(list_sum(sizes)) / nullif(sum(len(sizes)), 0) AS avg_words_per_sentence, avg(CAST(emoji AS DOUBLE)) AS emoji_rate,
+  sum(contractions) / greatest(sum(words), 1) AS contraction_rate, avg(CASE WHEN len(list_filter(filled, lambda x: regexp_matches(x, '^(?:[-*•] |·|\\d+[.)]\\s)'))) > 0 THEN 1.0::DOUBLE ELSE 0 END) AS bullet_rate,
+  avg(CASE WHEN em_dash THEN 1.0::DOUBLE ELSE 0 END) AS em_dash_rate"""
+_OPENER = rf"'(?i)^({_any(GREETINGS)})\b[\s,]*([0-9A-Za-z_ \-]*?)[,.!]?$'"
+_TOP = "SELECT formula, n, n / t AS share FROM (SELECT formula, count(*) AS n, sum(count(*)) OVER () AS t FROM ({}) WHERE formula IS NOT NULL GROUP BY formula) ORDER BY n DESC, formula LIMIT 5"
+
 SQL = {
+    "voice_global": f"SELECT {_PROFILE} FROM ({_COUNTED})",
+    "voice_by_recipient": f"SELECT recipient, {_PROFILE} FROM (SELECT *, lower(trim(unnest(\"to\"), ' ')) AS recipient FROM ({_COUNTED})) WHERE recipient <> '' GROUP BY recipient HAVING count(*) >= 5",
+    "voice_greetings": _TOP.format(f"""SELECT CASE WHEN o = '' THEN NULL WHEN trim(n, ' ') <> '' THEN o || ' <name>' ELSE o END AS formula
+      FROM (SELECT lower(regexp_extract(coalesce(filled[1], ''), {_OPENER}, 1)) AS o, regexp_extract(coalesce(filled[1], ''), {_OPENER}, 2) AS n FROM ({_COUNTED}))"""),
+    "voice_sign_offs": _TOP.format(f"""SELECT CASE WHEN len(filled) >= 2 THEN list_filter(list_transform(filled[greatest(len(filled) - 2, 1):], lambda x: regexp_replace(lower(x), '[,.!]+$', '')),
+      lambda x: x IN ({", ".join(f"'{w}'" for w in SIGN_OFFS)}))[1] END AS formula FROM ({_COUNTED})"""),
+    "voice_fillers": f"""SELECT filler, count(*) AS n FROM (SELECT text, unnest([{", ".join(f"'{w}'" for w in FILLERS)}]) AS filler FROM ({_TEXTS}))
+      WHERE regexp_matches(lower(text), '\\b' || filler || '\\b') GROUP BY filler ORDER BY n DESC, filler LIMIT 5""",
     "content_hash_dedup": f"SELECT {_HASH} AS content_hash, count(*) AS n_chunks, min(chunk_id) AS first_chunk_id FROM chunks WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "outdated_hashes": f"SELECT chunk_id, content_hash, {_HASH} AS actual_hash FROM chunks WHERE lower(trim(content_hash, ' ')) IS DISTINCT FROM {_HASH}",
     "new_chunks": f"SELECT chunk_id, source_id, position FROM chunks WHERE ingested_at >= {SPLIT} AND {_HASH} NOT IN (SELECT {_HASH} FROM chunks WHERE ingested_at < {SPLIT})",
@@ -325,6 +351,7 @@ SQL = {
     "logged_contradictions": f"""
       SELECT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b, count(*) AS n_times, min(detected_at) AS first_at, (max(struct_pack(t := detected_at, i := id, r := resolution))).r AS resolution
       FROM (SELECT {_CLEAN.format("chunk_a")} AS a, {_CLEAN.format("chunk_b")} AS b, detected_at, id, {_CLEAN.format("resolution")} AS resolution FROM contradiction_log) WHERE a <> '' AND b <> '' GROUP BY 1, 2""",
+    "embedded_chunks": "SELECT chunk_id, CAST(64 AS INTEGER) AS n_dimensions FROM chunks",
     "knn_topk": _knn(8),
     "knn_filtered": _knn(8, "q.label = v.label"),
     "near_duplicate_vectors": _PAIRS.format(_knn(5), 0.35),
