@@ -80,4 +80,12 @@ def p10_composition(spark, d):
 
 
 QUERIES = {"p1_found": p1_found, "p1_new_text": p1_new_text, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_body": p5_body, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p9_templates": p9_templates, "p10_found": p10_found, "p10_composition": p10_composition}
-SQL: dict[str, str] = {}
+#: Where SQL can express a query over whole tables.
+SQL = {
+    "p4_found": r"""
+      WITH w AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM chunks WHERE text IS NOT NULL),
+        g AS (SELECT DISTINCT chunk_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+        n AS (SELECT chunk_id, count(*) AS n FROM g GROUP BY chunk_id),
+        c AS (SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
+      SELECT chunk_a, chunk_b FROM c JOIN n x ON x.chunk_id = chunk_a JOIN n y ON y.chunk_id = chunk_b WHERE c >= 0.6 * (x.n + y.n - c)""",
+}
