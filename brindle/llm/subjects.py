@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from brindle.session import skipping_empty
 
 #: Labelled documents per subject that the models are fitted on; the least by a hash of the id. Bounds the model.
-SAMPLE_PER_SUBJECT = 600
+SAMPLE_PER_SUBJECT = 1000
 #: Occurrences at which a word's own counts weigh as much as the background's, and followers that every history has on top.
-UNIGRAM_K, BIGRAM_K = 8.0, 20.0
+UNIGRAM_K, BIGRAM_K = 4.0, 5.0
 #: What a sentence must save against the background to be about a subject, in units of what one certain word saves.
 ACCEPT = 1.2
 #: Words of a sentence that counts as running text.
@@ -40,9 +40,9 @@ _HEADER = re.compile(r"(?:Subject|Participants|From|To|Cc|Date|Sent|Von|An|Gesen
 def sentences(text: str | None) -> list[list[str]]:
     """Sentences of the running text as lower-case words; numbers and codes become one word. Header lines are left out."""
     out = []
+    if text and ": " in text:
+        text = "\n".join(line for line in text.split("\n") if not _HEADER.match(line))
     for part in _CUT.split(text) if text else ():
-        if _HEADER.match(part):
-            continue
         words = ["0" if w[-1].isdigit() else w for w in _WORD.findall(part.lower())]
         if len(words) >= LEAST_WORDS:
             out.append(words)
