@@ -30,7 +30,7 @@ LEAST_WORDS = 4
 #: Share of the running text from which a document is about a subject.
 SHARE = 0.25
 #: Tokens that are scored at once.
-TOKENS_AT_ONCE = 500_000
+TOKENS_AT_ONCE = 200_000
 
 _CUT = re.compile(r"(?<=[.!?;:])\s+|\n+")
 _WORD = re.compile(r"[^\W\d_]+-\d+|[^\W\d_]+(?:[-'’][^\W\d_]+)*|\d+(?:[.,:]\d+)*")
@@ -52,20 +52,15 @@ def sentences(text: str | None) -> list[list[str]]:
 class SubjectModels:
     """Interpolated bigram models of all subjects; the last column of the tables counts all text alike."""
 
-    def __init__(self, subjects: list[str], parts: list[tuple[list[str], int]]):
-        """parts: (words, index of the subject or -1) of sentences."""
-        self.subjects = subjects
-        k = len(subjects)
-        self.words: dict[str, int] = {}
-        rows, cols, pairs, pair_cols = [], [], [], []
-        for words, s in parts:
-            ids = [self.words.setdefault(w, len(self.words)) for w in words]
-            rows += ids
-            cols += [s] * len(ids)
-            pairs += zip(ids, ids[1:], strict=False)
-            pair_cols += [s] * (len(ids) - 1)
-        v = len(self.words)
-        rows, cols = np.array(rows, np.int64), np.array(cols, np.int64)
+    def __init__(self, subjects: list[str], words: dict[str, int], ids: np.ndarray, sizes: np.ndarray, assigned: np.ndarray):
+        """ids: words of all sentences in a row; sizes: words of each sentence; assigned: its subject's index or -1."""
+        self.subjects, self.words = subjects, words
+        k, v = len(subjects), len(words)
+        rows, cols = ids, np.repeat(assigned, sizes)
+        inside = np.ones(max(len(ids) - 1, 0), bool)
+        inside[(np.cumsum(sizes)[:-1] - 1)[: len(inside)]] = False
+        codes = (ids[:-1].astype(np.int64) * (v + 1) + ids[1:])[inside]
+        pair_cols = cols[1:][inside]
         counts = np.zeros((v + 1, k + 1))
         labelled = cols >= 0
         np.add.at(counts, (rows[labelled], cols[labelled]), 1)
@@ -81,10 +76,8 @@ class SubjectModels:
         self.unigram = np.empty((v + 1, k + 1))
         self.unigram[:, :k] = background[:, None] * (weight * ratio + 1 - weight)
         self.unigram[:, k] = background
-        codes = np.array([a * (v + 1) + b for a, b in pairs], np.int64)
         self.pairs, which = np.unique(codes, return_inverse=True) if len(codes) else (codes, codes)
         pair_counts = np.zeros((len(self.pairs) + 1, k + 1))
-        pair_cols = np.array(pair_cols, np.int64)
         labelled = pair_cols >= 0
         np.add.at(pair_counts, (which[labelled], pair_cols[labelled]), 1)
         np.add.at(pair_counts, (which, np.full(len(which), k)), 1)
@@ -93,23 +86,17 @@ class SubjectModels:
         np.add.at(followers, self.pairs // (v + 1), pair_counts[:-1] > 0)
         followers += BIGRAM_K
         self.own, self.lower = 1 / (counts + followers), followers / (counts + followers)
-        self.pair_counts = pair_counts
+        self.pair_counts = pair_counts.astype(np.float32)
         self.size = v
 
-    def saved(self, parts: list[list[str]]) -> np.ndarray:
+    def saved(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Nats that each subject's model saves against the background, for each sentence."""
-        if not parts:
-            return np.zeros((0, len(self.subjects)))
-        flat = [w for p in parts for w in p]
-        lookup = self.words.get
-        ids = np.fromiter((lookup(w, self.size) for w in flat), np.int64, len(flat))
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         starts = np.cumsum(sizes) - sizes
         p = self.unigram[ids]
         first = np.zeros(len(ids), bool)
         first[starts] = True
         at = np.flatnonzero(~first)
-        codes = ids[at - 1] * (self.size + 1) + ids[at]
+        codes = ids[at - 1].astype(np.int64) * (self.size + 1) + ids[at]
         place = np.minimum(np.searchsorted(self.pairs, codes), max(len(self.pairs) - 1, 0))
         known = self.pairs[place] == codes if len(self.pairs) else np.zeros(len(codes), bool)
         own = self.pair_counts[np.where(known, place, len(self.pairs))]
@@ -118,34 +105,52 @@ class SubjectModels:
         p = p[:, :-1]
         return np.add.reduceat(np.log(p) - np.log(p.mean(axis=1, keepdims=True)), starts, axis=0)
 
-    def assign(self, parts: list[list[str]], allowed: np.ndarray | None = None) -> np.ndarray:
-        """Index of each sentence's subject, -1 for none; where the best one is not ``allowed``, none."""
-        saved = self.saved(parts)
-        if not len(saved):
-            return np.empty(0, np.int64)
-        best = saved.argmax(axis=1)
-        at = np.arange(len(best))
-        good = saved[at, best] >= ACCEPT * np.log(max(2, len(self.subjects)))
-        return np.where(good if allowed is None else good & allowed[at, best], best, -1)
+    def encoded(self, parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        lookup = self.words.get
+        ids = np.fromiter((lookup(w, self.size) for p in parts for w in p), np.int32)
+        return ids, np.fromiter(map(len, parts), np.int64, len(parts))
+
+    def assign(self, parts: list[list[str]]) -> np.ndarray:
+        """Index of each sentence's subject, -1 for none."""
+        return self.assign_encoded(*self.encoded(parts))
+
+    def assign_encoded(self, ids: np.ndarray, sizes: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
+        """The same of encoded sentences; where the best subject is not ``allowed``, none."""
+        out = np.full(len(sizes), -1)
+        ends = np.cumsum(sizes)
+        start = 0
+        while start < len(sizes):
+            base = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + TOKENS_AT_ONCE, side="right")))
+            saved = self.saved(ids[base : int(ends[stop - 1])], sizes[start:stop])
+            best = saved.argmax(axis=1)
+            at = np.arange(len(best))
+            good = saved[at, best] >= ACCEPT * np.log(max(2, len(self.subjects)))
+            if allowed is not None:
+                good &= allowed[start + at, best]
+            out[start:stop] = np.where(good, best, -1)
+            start = stop
+        return out
 
 
 def fit(labelled: pd.DataFrame, subjects: list[str], rounds: int = 3) -> SubjectModels:
     """Models from (text, list of subjects) rows."""
     index = {s: i for i, s in enumerate(subjects)}
-    docs = []
+    words: dict[str, int] = {}
+    ids, sizes, allowed = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty((0, len(subjects)), bool)]
     for text, own in zip(labelled["text"], labelled["subjects"], strict=True):
         names = sorted({index[s] for s in own if s in index})
-        if names:
-            docs.append((sentences(text), names))
-    parts = [p for own, _ in docs for p in own]
-    models = SubjectModels(subjects, [(p, names[0] if len(names) == 1 else -1) for own, names in docs for p in own])
-    allowed = np.zeros((len(parts), len(subjects)), bool)
-    row = 0
-    for own, names in docs:
-        allowed[row : row + len(own), names] = True
-        row += len(own)
-    for _ in range(rounds):
-        models = SubjectModels(subjects, list(zip(parts, models.assign(parts, allowed).tolist(), strict=True)))
+        parts = sentences(text) if names else []
+        if parts:
+            ids.append(np.array([words.setdefault(w, len(words)) for p in parts for w in p], np.int32))
+            sizes.append(np.fromiter(map(len, parts), np.int64, len(parts)))
+            allowed.append(np.zeros((len(parts), len(subjects)), bool))
+            allowed[-1][:, names] = True
+    ids, sizes, allowed = np.concatenate(ids), np.concatenate(sizes), np.concatenate(allowed)
+    assigned = np.where(allowed.sum(axis=1) == 1, allowed.argmax(axis=1), -1) if len(subjects) else np.full(len(sizes), -1)
+    models = SubjectModels(subjects, words, ids, sizes, assigned)
+    for _ in range(rounds if len(sizes) else 0):
+        models = SubjectModels(subjects, words, ids, sizes, models.assign_encoded(ids, sizes, allowed))
     return models
 
 
