@@ -38,7 +38,7 @@ NOTICE = frozenset(
     "copyright rights reserved powered holding gmbh ltd inc © subscribe newsletter letter email member already continue reading helpful yes no follow photogrid chirper".split()
 )
 # How links to other pages are phrased.
-TEASER = re.compile(r"\b(?:revisited|explained|in brief|and you|by night|wins again|what we know|matters|\w+ the [\w ]+ archive|\d+ ways to visit [\w ]+|\d+ min read|now \d+% off)$", re.I)
+TEASER = re.compile(r"^(?:(?:read )?next|previous|prev|weiter|zurück|suivant|précédent|siguiente|anterior)\b ?(?::|->|»|→)|\b(?:revisited|explained|in brief|and you|by night|wins again|what we know|matters|\w+ the [\w ]+ archive|\d+ ways to visit [\w ]+|\d+ min read|now \d+% off)$", re.I)
 INTRO = re.compile(r"^\W*(?:related|latest|most read|trending|popular|recommended|more from|you may also|you might|advertisement|sponsored|follow us|read next|weitere|à lire|también)\b", re.I)
 _ITEM = re.compile(r"\s*[|/>·•»→]\s*|\s{3,}")
 _WORD = re.compile(r"[^\W_]+(?:['’\-.@][^\W_]+)*|[©]")
