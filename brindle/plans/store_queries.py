@@ -99,6 +99,11 @@ def _hits(spark, d, k):
     return vectors.nearest(_queries(vecs), vecs, k)
 
 
+def _all_hits(spark, d, k):
+    vecs = table(spark, d, "embeddings")
+    return vectors.nearest(vecs.select(F.col("vec_id").alias("query_id"), "embedding"), vecs, k)
+
+
 def knn_topk(spark, d):
     return _hits(spark, d, 8)
 
@@ -109,17 +114,38 @@ def knn_filtered(spark, d):
 
 
 def near_duplicate_vectors(spark, d):
+    """Only pairs with an id divisible by 50, as its SQL; ``near_duplicate_vectors_all`` has all."""
     return vectors.near_duplicates(_hits(spark, d, 5), 0.35)
 
 
 def dropped_vectors(spark, d):
+    """Of the pairs of ``near_duplicate_vectors``; ``dropped_vectors_all`` has all."""
     return vectors.dropped(near_duplicate_vectors(spark, d))
 
 
-def contradiction_pairs(spark, d):
-    """Near vectors whose documents, by vec_id = doc_id, differ in source and in having a negation."""
+def _contradictions(spark, d, hits):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), "source")
-    return vectors.contradictions(_hits(spark, d, 5), docs, 0.3)
+    return vectors.contradictions(hits, docs, 0.3)
+
+
+def contradiction_pairs(spark, d):
+    """Near vectors whose documents, by vec_id = doc_id, differ in source and in having a negation. Only pairs with an id
+    divisible by 50, as its SQL; ``contradiction_pairs_all`` has all."""
+    return _contradictions(spark, d, _hits(spark, d, 5))
+
+
+def near_duplicate_vectors_all(spark, d):
+    """Every vector against all others."""
+    return vectors.near_duplicates(_all_hits(spark, d, 5), 0.35)
+
+
+def dropped_vectors_all(spark, d):
+    return vectors.dropped(near_duplicate_vectors_all(spark, d))
+
+
+def contradiction_pairs_all(spark, d):
+    """Near vectors, of all, whose documents, by vec_id = doc_id, differ in source and in having a negation."""
+    return _contradictions(spark, d, _all_hits(spark, d, 5))
 
 
 def query_confidence(spark, d):
@@ -251,7 +277,7 @@ QUERIES = {
     for f in (
         content_hash_dedup, outdated_hashes, new_chunks, upserted_sources, chunks_after_deletion, sources_after_deletion, source_chunk_counts, listed_sources, store_status,
         shown_sources, stale_sources, source_tags, logged_contradictions, chunked_documents, embedded_chunks, knn_topk, knn_filtered, near_duplicate_vectors, dropped_vectors,
-        contradiction_pairs, query_confidence, triage_scores, triage_category_counts, triage_top, followup_scan, followup_skip_reasons, interval_conflicts, approval_streaks,
+        contradiction_pairs, near_duplicate_vectors_all, dropped_vectors_all, contradiction_pairs_all, query_confidence, triage_scores, triage_category_counts, triage_top, followup_scan, followup_skip_reasons, interval_conflicts, approval_streaks,
         message_templates, pattern_best_match, voice_global, voice_by_recipient, voice_greetings, voice_sign_offs, voice_fillers, rendered_threads, last_messages, draft_topics,
         reply_routes, sensitive_threads, action_items,
     )

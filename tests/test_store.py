@@ -193,6 +193,23 @@ def test_vectors(spark):
     assert vectors.nearest(vecs.limit(0).select(F.col("vec_id").alias("query_id"), "embedding"), vecs, 3).count() == 0
 
 
+def test_near_vectors_of_all_ids(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(60, 8))
+    m[1::2] = m[::2] + 0.01 * rng.normal(size=(30, 8))
+    spark.createDataFrame([(i + 1, row.tolist(), 0) for i, row in enumerate(m)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    docs = [(i + 1, "this is not so" if i % 2 else "this is so", f"s{i % 2}") for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    u = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(float)
+    cos = u @ u.T
+    near = {(i, j) for i in range(60) for j in np.lexsort((np.arange(60), -cos[i]))[:5] if i != j}
+    expected = lambda t: {(min(i, j) + 1, max(i, j) + 1) for i, j in near if cos[i, j] >= t}
+    run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    assert {(r.id_a, r.id_b) for r in run("near_duplicate_vectors_all")} == expected(0.35) >= {(i, i + 1) for i in range(1, 60, 2)}
+    assert {r.id for r in run("dropped_vectors_all")} == {b for _, b in expected(0.35)}
+    assert {(r.id_a, r.id_b) for r in run("contradiction_pairs_all")} == {(a, b) for a, b in expected(0.3) if (a - b) % 2}
+
+
 def test_action_items():
     item = lambda text, user=False: [(k, t, o, d) for k, t, o, d in threads.items_of(text, user)]
     assert item("Please send the slides by Friday EOD.") == [("request", "send the slides by Friday EOD", "user", "Friday")]
