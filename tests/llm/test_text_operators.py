@@ -6,6 +6,7 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import boilerplate, conversations, encoding, leakage, near_duplicates, personal, queries, quoting, subjects
 
@@ -343,6 +344,16 @@ def test_quoting_tables(spark):
     assert {r.line for r in proof} == {2}
 
 
+def test_quoting_of_a_text_that_many_messages_hold(spark):
+    first = "The seismic survey at the old harbour took nineteen days longer than anybody had planned for it in spring"
+    reply = f"Ann Lee <a@x.example> writes:\n> {first[:56]}\n{first[57:]}\n>\n\nThanks for the note, says reader"
+    rows = [("t", "first", 0, first, 10), ("t", "same", 0, first, 5), ("t", "undated", 0, f"{reply} 0.", None), ("t", "early", 0, f"{reply} 1.", 5)]
+    rows += [("t", f"r{i}", 0, f"{reply} {i}.", 100 + i) for i in range(60)]
+    messages = spark.createDataFrame(rows, "ref_table string, record_id string, msg_index int, body string, at long").withColumn("key", F.xxhash64("ref_table", "record_id", "msg_index", "body"))
+    proof = quoting.evidence(messages.drop("key")).join(messages, "key").select("record_id", "line").collect()
+    assert sorted(map(tuple, proof)) == sorted((f"r{i}", 2) for i in range(60))
+
+
 def test_llm_is_optional():
     """The entry module imports without the subpackage."""
     import importlib
