@@ -354,6 +354,30 @@ def test_quoting_of_a_text_that_many_messages_hold(spark):
     assert sorted(map(tuple, proof)) == sorted((f"r{i}", 2) for i in range(60))
 
 
+def test_quoting_finds_every_earlier_text(spark):
+    """Against brute force; an ancestor often holds little but the line that is asked about."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(250):
+        line = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(n))
+        above, own, below = line(9), line(rng.choice((4, 7, 8, 9, 12))), line(9)
+        near = f"{above.split(' ', 4)[4]} {own} {' '.join(below.split()[:5])}"
+        held = rng.choice((own, near, own.rsplit(" ", 1)[0], f"{line(3)} {own} {line(2)}"))
+        rows += [("t", f"a{i}", 0, held, i % 7), ("t", f"b{i}", 0, f"> {above}\n{own}\n> {below}", 3)]
+    messages = spark.createDataFrame(rows, "ref_table string, record_id string, msg_index int, body string, at long")
+    keyed = messages.withColumn("key", F.xxhash64("ref_table", "record_id", "msg_index", "body"))
+    got = {(r.record_id, r.line) for r in quoting.evidence(messages).join(keyed, "key").collect()}
+    texts = [(at, f" {body} ") for _, key, _, body, at in rows if key[0] == "a"]
+    expected = set()
+    for _, key, _, body, at in rows:
+        if key[0] == "b":
+            above, own, below = body.replace("> ", "").split("\n")
+            sought = own if len(own.split()) >= 8 else " ".join(above.split()[-5:] + own.split() + below.split()[:5])
+            if any(then < at and f" {sought} " in text for then, text in texts):
+                expected.add((key, 1))
+    assert got == expected and len(expected) > 20
+
+
 def test_llm_is_optional():
     """The entry module imports without the subpackage."""
     import importlib
