@@ -32,8 +32,8 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 #: 0 is nothing; kind k begins with 2k + 1 and goes on with 2k + 2.
 K = 2 * len(KINDS) + 1
 REACH = 3
-#: Tokens of a segment that is decoded as one sequence.
-SEGMENT = 64
+#: Sequences that are decoded at once, and steps of all of them; a longer sequence is decoded alone.
+SEQUENCES, STEPS = 4096, 262_144
 #: Characters whose tokens are held at once, and token types that a worker keeps.
 CHARS_AT_ONCE, TYPES = 1_500_000, 400_000
 
@@ -101,18 +101,17 @@ def features_of(token: str) -> list[str]:
 
 
 def segments_of(words: list[str]) -> list[int]:
-    """Ends of the segments of a text: after a sentence, a blank line or ``SEGMENT`` tokens."""
-    ends, start = [], 0
+    """Ends of the segments of a text: after a sentence or a blank line, however long they get."""
+    ends = []
     for i, w in enumerate(words):
-        stop = i + 1 - start >= SEGMENT
+        stop = False
         if w in _ENDS and i and not (w == "." and len(words[i - 1]) <= 4 and words[i - 1][0].isupper()):
-            stop |= i + 1 < len(words) and words[i + 1] not in _ENDS
+            stop = i + 1 < len(words) and words[i + 1] not in _ENDS
         elif w[0] in "\r\n" and w.count("\n") > 1:
             stop = True
         if stop:
             ends.append(i + 1)
-            start = i + 1
-    if start < len(words):
+    if words and (not ends or ends[-1] < len(words)):
         ends.append(len(words))
     return ends
 
@@ -201,9 +200,10 @@ class Field:
         sizes = ends - begins
         order = np.argsort(-sizes, kind="stable")
         into = np.ascontiguousarray(self.transitions.T)
-        for part in np.array_split(order, max(1, len(order) // 4096)):
-            if not len(part):
-                continue
+        start = 0
+        while start < len(order):
+            part = order[start : start + max(1, min(SEQUENCES, STEPS // int(sizes[order[start]])))]
+            start += len(part)
             b, n = begins[part], sizes[part]
             steps = int(n.max())
             back = np.zeros((steps, len(part), K), np.int8)

@@ -292,6 +292,18 @@ def test_subjects(spark):
     assert sum(r.n_documents for r in subjects.composition(subjects.shares(df, lab, names).where("share >= 0.25")).collect()) >= 240
 
 
+def test_personal_items_in_long_segments():
+    """An item is found whole wherever it stands in a text without sentence ends."""
+    field, phone = personal.load(), "+1 206 555 0108"
+    rows = [("the plan for the harbour is open and " * 12).split()[:n] for n in range(40, 84)]
+    texts = [" ".join([*r, "call", phone, "about", "it"]) for r in rows]
+    for text, found in zip(texts, field.find(texts), strict=True):
+        a = text.index(phone)
+        assert found == [(a, a + len(phone), "phone")]
+    long = "the plan is open " * 20_000 + "call " + phone
+    assert field.find([long, texts[0]]) == [[(len(long) - len(phone), len(long), "phone")], field.find(texts[:1])[0]]
+
+
 # --- quoting
 
 
