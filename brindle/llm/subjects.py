@@ -29,6 +29,8 @@ ACCEPT = 1.2
 LEAST_WORDS = 4
 #: Share of the running text from which a document is about a subject.
 SHARE = 0.25
+#: Subjects that there may be; the models of all are held at once.
+SUBJECTS = 10_000
 #: Tokens that are scored at once.
 TOKENS_AT_ONCE = 200_000
 
@@ -169,10 +171,14 @@ def shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> Data
 
     Running words are those of sentences that are about any subject; courtesies and other sentences about none don't count.
     Null, empty and blank texts, and texts without any sentence of ``LEAST_WORDS`` words, have no row. Rows of one id
-    count once each. Without labelled documents no sentence saves anything, so there is no row.
+    count once each. Without labelled documents no sentence saves anything, so there is no row. More than ``SUBJECTS``
+    distinct subjects raise a ``ValueError``.
     """
     spark = documents.sparkSession
-    names = sorted({r["subject"].strip().lower() for r in subjects.select("subject").where("subject is not null").distinct().limit(10_000).collect()})
+    rows = subjects.select("subject").where("subject is not null").distinct().limit(SUBJECTS + 1).collect()
+    if len(rows) > SUBJECTS:
+        raise ValueError(f"more than {SUBJECTS} subjects")
+    names = sorted({r["subject"].strip().lower() for r in rows})
     models = spark.sparkContext.broadcast(fit(labelled_sample(documents, labels), names))
 
     def run(batches):

@@ -304,6 +304,13 @@ def test_personal_items_in_long_segments():
     assert field.find([long, texts[0]]) == [[(len(long) - len(phone), len(long), "phone")], field.find(texts[:1])[0]]
 
 
+def test_too_many_subjects(spark):
+    docs = spark.createDataFrame([(1, "some words about the harbour")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, "s1")], "doc_id long, subject string")
+    with pytest.raises(ValueError, match="subjects"):
+        subjects.shares(docs, labels, spark.range(10_001).selectExpr("concat('s', id) AS subject"))
+
+
 # --- quoting
 
 
