@@ -39,20 +39,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in local tests,
-    a temporary folder is made.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session without it, as in tests, gets
+    a temporary folder; elsewhere no executor could read that, so a ``RuntimeError`` tells what is missing.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="brindle-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """Mark ``df`` for a broadcast join if it has at most ``max_rows`` rows; otherwise leave the join to shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def bounded_broadcast(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """Mark ``df`` for a broadcast join if its rows take at most ``max_bytes``; otherwise leave the join to shuffle.
+
+    The bytes are counted, not estimated: those of each row's columns as text, and 16 a column. Counting stops as soon as
+    so many rows are seen that even empty ones are too many.
+    """
+    width = 16 * max(1, len(df.columns))
+    size = sum((F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns), F.lit(width))
+    total = df.limit(max_bytes // width + 1).agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= max_bytes else df
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", hot: int = 100_000, parts: int = 32) -> DataFrame:
+    """Join of ``many`` rows with at most a few rows of ``one`` per key, in which no key is a single task's work.
+
+    Keys that more than ``hot`` rows of ``many`` have are dealt into ``parts`` by a hash of their rows, and only for those
+    keys are the rows of ``one`` repeated. There can't be more such keys than rows / ``hot``; their list is broadcast if its
+    size allows it. ``how`` is inner, left, left_semi or left_anti.
+    """
+    busy = many.groupBy(key).count().where(F.col("count") > hot).select(key, F.lit(True).alias("_busy"))
+    if busy.isEmpty():
+        return many.join(one, key, how)
+    busy = bounded_broadcast(busy)
+    dealt = many.join(busy, key, "left").withColumn("_part", F.when(F.col("_busy"), F.pmod(F.xxhash64(*[c for c in many.columns if c != key]), F.lit(parts)).cast("int")).otherwise(0)).drop("_busy")
+    copies = F.when(F.col("_busy"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = one.join(busy, key, "left").withColumn("_part", F.explode(copies)).drop("_busy")
+    return dealt.join(repeated, [key, "_part"], how).drop("_part")
 
 
 def skipping_empty(run):
@@ -69,3 +95,8 @@ def skipping_empty(run):
 def blocks(spark: SparkSession, least: int = 1) -> int:
     """Number of hash blocks for work that is spread by hand: that of the shuffle partitions of the session."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def blocks_of_bytes(spark: SparkSession, total: int, per_block: int) -> int:
+    """Number of hash blocks so that each is meant to hold ``per_block`` bytes of ``total``; at least ``blocks``."""
+    return blocks(spark, -(-int(total) // max(1, per_block)))
