@@ -31,8 +31,6 @@ COUNT_BITS = 20
 SKETCH = 512
 #: Pairs that a block's task holds at once.
 PAIRS_AT_ONCE = 4_000_000
-#: Rows up to which the keys of texts in candidate pairs are broadcast to fetch these texts; beyond, the join shuffles.
-BROADCAST_KEYS = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -222,7 +220,7 @@ def similar_texts(texts: DataFrame, size: int = 5, threshold: float = 0.8) -> Da
     pairs = checkpointed(spread.mapInArrow(lambda b: _product(b, threshold), "key_a long, key_b long").distinct())
 
     involved = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
-    own = named.join(bounded_broadcast(involved, BROADCAST_KEYS), "key", "left_semi").distinct()
+    own = named.join(bounded_broadcast(involved), "key", "left_semi").distinct()
     both = pairs.join(own.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a")
     both = both.join(own.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b").select("key_a", "key_b", "text_a", "text_b")
 

@@ -8,7 +8,7 @@ from brindle.llm.encoding import encode
 from brindle.llm.leakage import leaks
 from brindle.llm.near_duplicates import similar_groups, similar_pairs
 from brindle.llm.personal import personal_items, personal_texts, redacted
-from brindle.llm.quoting import messages_of, new_text, repeated_lines
+from brindle.llm.quoting import messages_of, new_text, paths, repeated_lines
 from brindle.llm.subjects import SHARE, composition, shares
 from brindle.session import table
 
@@ -25,6 +25,10 @@ def p1_new_text(spark, d):
     return new_text(_messages(spark, d))
 
 
+def p1_paths(spark, d):
+    return paths(_messages(spark, d))
+
+
 def p3_found(spark, d):
     return turns(table(spark, d, "sample_messages_for_triage"), table(spark, d, "channel_clock"))
 
@@ -79,7 +83,7 @@ def p10_composition(spark, d):
     return composition(p10_found(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_new_text": p1_new_text, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_body": p5_body, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p9_templates": p9_templates, "p10_found": p10_found, "p10_composition": p10_composition}
+QUERIES = {"p1_found": p1_found, "p1_new_text": p1_new_text, "p1_paths": p1_paths, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_body": p5_body, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p9_templates": p9_templates, "p10_found": p10_found, "p10_composition": p10_composition}
 #: Where SQL can express a query over whole tables.
 SQL = {
     "p4_found": r"""
