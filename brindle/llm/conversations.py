@@ -1,13 +1,14 @@
 """Conversations rebuilt from message rows.
 
 Message rows are sorted by (conversation, time, id) over range partitions, so that one conversation may span many
-partitions and no task ever holds a whole one. A finite-state automaton over turn classes decides which conversations are
-whole. Its states form a small lattice, so the transition of a slice is a bit mask, and slices of one conversation are
-combined by bitwise or, before any shuffle by conversation.
+partitions and no task ever holds a whole one. A finite-state automaton reads the turns in that order. As a slice of a
+conversation doesn't know the state that it begins in, it is reduced to the map from each state to the one it leads to;
+the maps of a conversation's slices are applied one after the other, and the state at the end decides whether it is kept.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +17,13 @@ from brindle.functions.timestamps import utc_us
 from brindle.operators.instants import with_clock
 from brindle.session import blocks, bounded_broadcast, checkpointed, skipping_empty
 
-#: Automaton: a set of seen events. ``ACCEPT`` is the only accepting state; ``BROKEN`` is absorbing.
-USER, CONTACT, BROKEN = 1, 2, 4
-ACCEPT = USER | CONTACT
+#: States: nothing said yet, only the owner or only the contact has spoken (a reply is missing), answered, broken.
+SILENT, ASKED, TOLD, ANSWERED, BROKEN = range(5)
+#: Events: a turn of the owner, a turn of the contact, a row without visible text, a row without time or sender.
+USER, CONTACT, EMPTY, FAULT = range(4)
+#: The state that each event leads to from each state. Empty rows change nothing, and nothing mends a broken conversation.
+STEP = np.array([[ASKED, ASKED, ANSWERED, ANSWERED, BROKEN], [TOLD, ANSWERED, TOLD, ANSWERED, BROKEN], [SILENT, ASKED, TOLD, ANSWERED, BROKEN], [BROKEN] * 5], np.int8)
+N_STATES = STEP.shape[1]
 
 
 def visible(text: Column) -> Column:
@@ -56,49 +61,70 @@ def turns(messages: DataFrame, clock: DataFrame) -> DataFrame:
     rows = messages.select("id", thread.alias("thread_id"), "channel", F.col("from").alias("sender"), F.col("from_id").alias("sender_id"), "received_at", "snippet")
     rows = rows.where(F.col("thread_id").isNotNull() & F.col("id").isNotNull())
     rows = rows.groupBy("id").agg(F.min(F.struct("thread_id", "channel", "sender", "sender_id", "received_at", "snippet")).alias("r")).select("id", "r.*")
-    rows = rows.where(visible(F.col("snippet")))
     owners = clock.groupBy(F.lower(F.trim("channel")).alias("_own")).agg(F.min(F.struct("owner_id", "owner_name")).alias("_owner"))
     timed = with_clock(rows, clock).withColumn("at", utc_us("received_at", "_zone", "_order"))
     timed = timed.join(bounded_broadcast(owners), F.lower(F.trim("channel")) == F.col("_own"), "left")
     owned = is_owner(F.col("sender"), F.col("sender_id"), F.col("_owner.owner_id"), F.col("_owner.owner_name"))
     no_sender = ~visible(F.col("sender")) & ~visible(F.col("sender_id"))
-    event = F.when(F.col("at").isNull() | no_sender, BROKEN).when(owned, USER).otherwise(CONTACT)
+    event = F.when(~visible(F.col("snippet")), EMPTY).when(F.col("at").isNull() | no_sender, FAULT).when(owned, USER).otherwise(CONTACT)
     slim = checkpointed(timed.select("thread_id", "id", "at", event.alias("event")))
+    kept = numbered(slim).where(F.col("event") != EMPTY)
+    return kept.select("thread_id", "turn", "id", F.when(F.col("event") == USER, "user").otherwise("contact").alias("speaker_role"))
 
-    whole = slim.groupBy("thread_id").agg(F.bit_or("event").alias("state")).where(F.col("state") == ACCEPT).select("thread_id")
-    kept = slim.join(whole, "thread_id", "left_semi")
-    return numbered(kept).select("thread_id", "turn", "id", F.when(F.col("event") == USER, "user").otherwise("contact").alias("speaker_role"))
 
+def composed(steps: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Running composition of maps between states: row i leads from the state before its run to that after row i.
 
-def _count_slices(batches):
-    """Running number of each row within its conversation's slice of this partition; rows arrive sorted."""
+    ``place`` is each row's place in its run. Maps compose associatively, so runs are combined by doubling their length.
+    """
+    out, d = steps.copy(), 1
+    while len(place) and d <= int(place.max()):
+        at = np.flatnonzero(place >= d)
+        out[at] = np.take_along_axis(out[at], out[at - d], axis=1)
+        d *= 2
+    return out
+
+
+def _read_slices(batches):
+    """Each row with its number among the turns of its conversation in this partition, and the map of the slice up to it
+    as a number with a digit per state; rows arrive sorted."""
     from pyspark import TaskContext
 
-    part, last, n = TaskContext.get().partitionId(), None, 0
+    part, last, n, place, carried = TaskContext.get().partitionId(), None, 0, 0, None
+    digits = N_STATES ** np.arange(N_STATES)
     for pdf in batches:
         if not len(pdf):
             continue
-        ids = pdf["thread_id"].to_numpy(object)
-        local = pdf.groupby("thread_id", sort=False).cumcount().to_numpy() + 1
-        first = ids == last
-        local = local + first * n
-        last = ids[-1]
-        n = int(local[-1])
-        yield pd.DataFrame({"thread_id": ids, "id": pdf["id"].to_numpy(object), "event": pdf["event"].to_numpy(), "part": part, "local": local.astype("int32")})
+        ids, events = pdf["thread_id"].to_numpy(object), pdf["event"].to_numpy()
+        run = np.r_[True, ids[1:] != ids[:-1]]
+        start = np.flatnonzero(run)[np.cumsum(run) - 1]
+        own = np.arange(len(ids)) - start
+        maps = composed(STEP[events], own)
+        turns = np.cumsum(events != EMPTY)
+        turns = turns - (turns[start] - (events[start] != EMPTY))
+        if ids[0] == last:
+            first = start == 0
+            maps[first] = maps[first][:, carried]
+            turns, own = turns + first * n, own + first * place
+        last, n, place, carried = ids[-1], int(turns[-1]), int(own[-1]) + 1, maps[-1]
+        yield pd.DataFrame({"thread_id": ids, "id": pdf["id"].to_numpy(object), "event": events, "part": part, "place": own, "local": turns.astype("int32"), "leads": (maps @ digits).astype("int32")})
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Rows with their ``turn`` within the conversation.
+    """Rows of the conversations that end in the state ``ANSWERED``, with their ``turn`` within the conversation.
 
-    Only the counts of each slice (one row per partition and conversation) are shuffled by conversation to give each
-    slice its offset.
+    Only the last row of each slice (one per partition and conversation) is shuffled by conversation, to give each slice
+    its offset and the conversation its final state. Both come back by (conversation, partition), so a conversation with
+    very many rows is joined in as many parts as it spans.
     """
     ordered = rows.repartitionByRange(blocks(rows.sparkSession), "thread_id", "at", "id").sortWithinPartitions("thread_id", "at", "id")
-    local = checkpointed(ordered.mapInPandas(skipping_empty(_count_slices), "thread_id string, id string, event int, part int, local int"))
-    slices = local.groupBy("thread_id", "part").agg(F.max("local").alias("n"))
+    schema = "thread_id string, id string, event int, part int, place long, local int, leads int"
+    local = checkpointed(ordered.mapInPandas(skipping_empty(_read_slices), schema))
+    slices = local.groupBy("thread_id", "part").agg(F.max_by(F.struct("local", "leads"), "place").alias("last")).select("thread_id", "part", "last.local", "last.leads")
     # A conversation has at most as many slices as there are partitions; the list of them is small.
-    lists = slices.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("part", "n"))).alias("s")).where(F.size("s") > 1)
-    before = lambda s: F.aggregate(F.filter(F.col("s"), lambda x: x["part"] < s["part"]), F.lit(0), lambda a, x: a + x["n"])
+    lists = slices.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("part", "local", "leads"))).alias("s"))
+    follow = lambda state, x: (F.floor(x["leads"] / F.pow(F.lit(N_STATES), state)) % N_STATES).cast("int")
+    lists = lists.where(F.aggregate("s", F.lit(SILENT), follow) == ANSWERED)
+    before = lambda s: F.aggregate(F.filter(F.col("s"), lambda x: x["part"] < s["part"]), F.lit(0), lambda a, x: a + x["local"])
     offsets = lists.select("thread_id", F.explode(F.transform("s", lambda s: F.struct(s["part"].alias("part"), before(s).alias("offset")))).alias("o")).select("thread_id", "o.part", "o.offset")
-    joined = local.join(offsets, ["thread_id", "part"], "left")
-    return joined.withColumn("turn", (F.col("local") + F.coalesce("offset", F.lit(0))).cast("int"))
+    return local.join(offsets, ["thread_id", "part"]).withColumn("turn", (F.col("local") + F.col("offset")).cast("int"))

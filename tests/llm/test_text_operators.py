@@ -56,6 +56,33 @@ def test_conversations(spark):
     assert conversations.turns(df, spark.createDataFrame([], CLOCK)).count() == 0
 
 
+def test_automaton_over_slices():
+    """Maps of slices, however they are cut, lead to the state that reading event by event leads to."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        events = rng.choice(4, size=rng.integers(1, 30), p=[0.4, 0.4, 0.17, 0.03])
+        cuts = np.sort(rng.choice(len(events), size=min(len(events), 3), replace=False))
+        place = np.arange(len(events)) - np.maximum.accumulate(np.where(np.isin(np.arange(len(events)), [0, *cuts]), np.arange(len(events)), 0))
+        maps = conversations.composed(conversations.STEP[events], place)
+        state, ends = conversations.SILENT, [*(c - 1 for c in cuts if c), len(events) - 1]
+        for e in sorted(set(ends)):
+            state = maps[e][state]
+        plain = conversations.SILENT
+        for e in events:
+            plain = conversations.STEP[e][plain]
+        assert state == plain
+        told = set(events.tolist())
+        assert (plain == conversations.ANSWERED) == ({0, 1} <= told and 3 not in told)
+
+
+def test_long_conversations_in_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        test_conversations(spark)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 # --- encoding
 
 
