@@ -274,21 +274,45 @@ def test_leaks(spark):
         1: f"{fill(30)} {item} {fill(30)}", 2: fill(9) + "\n> " + "\n> ".join(item.upper()[i : i + 40].rsplit(" ", 1)[0] for i in (0,)) + fill(5), 3: fill(20) + " " + " ".join(near), 4: fill(5) + " " + " ".join(far), 5: " ".join(words[:15]), 6: " ".join(words[:14]),
         7: "**" + "​".join(words[4:24]).replace("​", " ​") + "**", 8: None, 9: "", 10: " ", 11: "\n".join(f"| {w}" for w in words), 12: other.replace("Zangoland", "Lanseleth").replace("45", "9").replace("type checker", "fish").replace("GX-34273", "AB-1").replace("Tarnoria", "X"), 13: fill(200_000), 14: "Answer with one letter only. " * 9, 15: item.replace(" ", "\n> ", 5),
     }
-    rows = spark.createDataFrame(list(docs.items()) + [(1, docs[1])], "doc_id long, text string").selectExpr("*", "0L AS item_id", "1 AS passage_words")
+    rows = spark.createDataFrame(list(docs.items()) + [(1, docs[1])], "doc_id long, text string").selectExpr("*", "0L AS item_id", "1 AS passage_words", "2 AS window")
     found = leakage.leaks(rows, spark.createDataFrame(items, "item_id long, text string"))
     got = {(r.doc_id, r.item_id): r for r in found.collect()}
     assert {k for k, r in got.items() if r.passage_words} == {(d, 1) for d in (1, 3, 5, 7, 11, 15)}
-    assert got[12, 2].passage_words == 0 and got[12, 2].reparameterised > 0
+    assert got[12, 2].passage_words == 0 and got[12, 2].template_words >= 15 and got[12, 2].reparameterised
+    assert not any(r.reparameterised for k, r in got.items() if r.passage_words)
     assert leakage.leaks(rows, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert leakage.leaks(rows.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
-def test_leaks_in_passes(spark, monkeypatch):
+def test_leaks_of_many_items(spark, monkeypatch):
+    """The result depends neither on how the bits of the bitmaps are shared, nor on the order or the number of other items,
+    nor on hot windows."""
     items = [(i, " ".join(f"{w}{i}" for w in WORDS) + " end.") for i in range(7)]
-    docs = spark.createDataFrame([(i, f"x y {t}") for i, t in items], "doc_id long, text string")
-    monkeypatch.setattr(leakage, "ITEMS_AT_ONCE", 3)
-    found = leakage.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).where("passage_words > 0")
-    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(i, i) for i in range(7)]
+    docs = spark.createDataFrame([(i, f"x y {t}") for i, t in items] + [(100 + i, f"x {items[0][1]}") for i in range(40)], "doc_id long, text string")
+    expected = sorted([(i, i) for i in range(7)] + [(100 + i, 0) for i in range(40)])
+    run = lambda rows: sorted((r.doc_id, r.item_id) for r in leakage.leaks(docs, spark.createDataFrame(rows, "item_id long, text string")).where("passage_words > 0").collect())
+    assert run(items) == expected
+    spread = leakage.spread_join
+    monkeypatch.setattr(leakage, "spread_join", lambda *a, **k: spread(*a, **k, hot=9, parts=3))
+    monkeypatch.setattr(leakage, "WINDOW_BITS", 8)
+    monkeypatch.setattr(leakage, "NAME_BITS", 8)
+    assert run(items[::-1] + [(1000 + i, " ".join(f"{w}{i}x" for w in WORDS)) for i in range(200)]) == expected
+
+
+def test_stock_endings_are_those_of_all_items(spark):
+    items = [(i, f"Item {i} asks about the number of boats. Answer with one letter.") for i in range(9)] + [(20, "A lone item. It ends by itself.")]
+    words = {r.item_id: r.words for r in leakage.item_words(spark.createDataFrame(items, "item_id long, text string").repartition(7)).collect()}
+    assert all(len(words[i]) == 8 for i in range(9)) and len(words[20]) == 7
+
+
+def test_reparameterised_items(spark):
+    """A question with other slots is told from windows that only chance to agree, by the map of its slots."""
+    text = "The widow {a} mixes {n} rolls of berry tart for {b} while {a} signs the {n} bags and then {b} floats {m} rolls across the {c} bay at night."
+    fill = lambda **k: text.format(**k)
+    items = spark.createDataFrame([(1, fill(a="Norsaris", b="Tarnoria", c="Quelmar", n=25, m=7)), (2, "We count the boats of the harbour.")], "item_id long, text string")
+    docs = {1: fill(a="Lanseleth", b="Ostrix", c="Vanmor", n=31, m=4), 2: fill(a="Norsaris", b="Tarnoria", c="Quelmar", n=25, m=7), 3: fill(a="Lanseleth", b="Ostrix", c="Vanmor", n=31, m=4).replace("while Lanseleth", "while Delmo"), 4: fill(a="Ostrix", b="Ostrix", c="Vanmor", n=31, m=4), 5: "They said we count the boats of the harbour at night.", 6: "We count the goats of the harbour."}
+    rows = leakage.leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id): r.reparameterised for r in rows} == {(1, 1): True, (2, 1): False, (5, 2): False}
 
 
 # --- subjects
