@@ -393,7 +393,7 @@ def test_winnowing_guarantee():
     for _ in range(200):
         shared = [rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(quoting.SPAN)]
         a, b = ([rng.choice(WORDS) for _ in range(rng.randrange(30))] + shared + [rng.choice(WORDS) for _ in range(rng.randrange(30))] for _ in range(2))
-        assert set(quoting._fingerprints(a)[0]) & set(quoting._fingerprints(b)[0])
+        assert set(quoting._fingerprints(a)[0].tolist()) & set(quoting._fingerprints(b)[0].tolist())
 
 
 def test_shared_runs():
