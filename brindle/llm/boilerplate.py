@@ -1,13 +1,16 @@
 """Main body of web pages: flat text blocks, judged by a decision tree.
 
-A block is a line with visible text. Its features are its word count and link density, those of its neighbours, its
-place, and shares of a few word classes. The tree is trained on the small labelled table ``page_blocks.tsv`` beside this
-module when a query is built; it is a few arrays that every task receives.
+A block is a line with visible text. Its features are its word count and link density, those of its neighbours, its place,
+its punctuation and letter case, and how much its words speak for furniture in the labelled table. No list of words is
+given: that evidence is learned, for the labelled rows themselves from the other pages only. The tree is trained on the
+small labelled table ``page_blocks.tsv`` beside this module when a query is built; it is a few arrays and a table of words
+that every task receives.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 from pathlib import Path
 
@@ -21,105 +24,106 @@ from brindle.session import bounded_broadcast, skipping_empty
 LABELLED = Path(__file__).with_name("page_blocks.tsv")
 #: Rows of the labelled table that are read at most.
 LABELLED_ROWS = 20_000
-MAX_DEPTH, MIN_LEAF = 12, 3
+MAX_DEPTH, MIN_LEAF = 10, 4
+#: Parts of the labelled pages; the words of each are weighed by the other parts.
+FOLDS = 5
+#: Lines that a word must stand in to be evidence, and what is added to its counts.
+LEAST_LINES, SMOOTHING = 3, 0.5
 #: Lines that are judged at once.
 LINES_AT_ONCE = 200_000
 #: Blocks with fewer words count as short.
 SHORT = 10
 
-# Words of menus, notices and footers, by class; a few common forms in English, German, French and Spanish.
-MENU = frozenset(
-    "home blog sign login log in out up register account changelog contact contacts docs documentation support help faq pricing careers jobs community products partners downloads search "
-    "about us news library guides menu navigation terms use privacy imprint impressum datenschutz kontakt agb sitemap print save share report problem mail link back top skip main content next previous "
-    "accueil connexion inicio contacto buscar suche startseite".split()
-)
-NOTICE = frozenset(
-    "cookie cookies privacy accept akzeptieren accepter refuser reject settings preferences consent traceurs notwendige nur device files browsing agree policy galletas aceptar rechazar got ok "
-    "copyright rights reserved powered holding gmbh ltd inc © subscribe newsletter letter email member already continue reading helpful yes no follow photogrid chirper".split()
-)
-# How links to other pages are phrased.
-TEASER = re.compile(r"^(?:(?:read )?next|previous|prev|weiter|zurück|suivant|précédent|siguiente|anterior)\b ?(?::|->|»|→)|\b(?:revisited|explained|in brief|and you|by night|wins again|what we know|matters|\w+ the [\w ]+ archive|\d+ ways to visit [\w ]+|\d+ min read|now \d+% off)$", re.I)
-INTRO = re.compile(r"^\W*(?:related|latest|most read|trending|popular|recommended|more from|you may also|you might|advertisement|sponsored|follow us|read next|weitere|à lire|también)\b", re.I)
 _ITEM = re.compile(r"\s*[|/>·•»→]\s*|\s{3,}")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _WORD = re.compile(r"[^\W_]+(?:['’\-.@][^\W_]+)*|[©]")
 _LINKED = re.compile(r"https?://\S+|\S+@\S+|\[[^\]]*\]")
 _CODE = re.compile(r"\b[A-Z]{1,3}-\d+\b|--\w|[{};=]|\(\)")
 _VISIBLE = re.compile(r"[^\W_]|[^\s\x00-\x1f\x7f ­​-‏ - ⁠﻿　]")
 
 FEATURES = (
-    "words", "chars", "link_density", "items", "ends", "colon", "bullet", "capitals", "lowers", "menu", "notice", "teaser", "digits", "code", "mark", "intro", "comma",
-    "sentences", "any", "from_top", "from_end", "before_words", "after_words", "before_density", "after_density", "before_menu", "after_menu", "before_notice", "after_notice",
-    "before_ends", "after_ends", "run", "run_menu", "since_intro", "before_teaser", "after_teaser", "longest",
+    "words", "chars", "link_density", "items", "ends", "colon", "bullet", "capitals", "lowers", "digits", "code", "mark", "comma", "sentences", "evidence",
+    "from_top", "from_end", "before_words", "after_words", "before_density", "after_density", "before_evidence", "after_evidence", "before_ends", "after_ends", "run", "run_evidence", "longest",
 )
-_OWN = 19
+_OWN = FEATURES.index("evidence")
 
 
 @lru_cache(maxsize=200_000)
 def _own(line: str) -> tuple[float, ...]:
-    """Features of a line by itself."""
+    """Features of a line by its form."""
     text = line.strip()
     words = _WORD.findall(text)
     n = len(words)
     if not n:
-        return (0.0, len(text), 0.0, 0.0, 0.0, 0.0, float(text[:1] in "-*»•"), *(0.0,) * 12)
-    low = [w.lower() for w in words]
+        return (0.0, len(text), 0.0, 0.0, 0.0, 0.0, float(text[:1] in "-*»•"), *(0.0,) * 7)
     items = [i for i in _ITEM.split(text.strip("|/>·•»→ ")) if i.strip()]
     short = sum(len(_WORD.findall(i)) for i in items if len(i.split()) <= 3) if len(items) > 1 else 0
     linked = sum(len(_WORD.findall(m)) for m in _LINKED.findall(text))
     shout = text.isupper()
-    teaser, intro = float(n <= 12 and bool(TEASER.search(text.rstrip(".!")))), float(bool(INTRO.match(text)))
-    menu, notice = sum(w in MENU for w in low) / n, sum(w in NOTICE for w in low) / n
     return (
         float(n), float(len(text)), min(1.0, max(short, linked) / n), float(len(items)), float(text[-1] in ".!?"), float(text[-1] == ":"),
         float(bool(re.match(r"[-*»•]\s|\d+[.)]\s", text))), sum(w[0].isupper() for w in words) / n if not shout else -1.0, sum(w[0].islower() for w in words) / n if not shout else -1.0,
-        menu, notice, teaser, sum(w[0].isdigit() for w in words) / n,
-        float(bool(_CODE.search(text))), float("©" in text or text.lower().startswith(("(c)", "copyright"))), intro, float(text.count(",")),
-        float(len(re.findall(r"[.!?](?:\s|$)", text))), menu + notice + teaser + intro,
+        sum(w[0].isdigit() for w in words) / n, float(bool(_CODE.search(text))), float("©" in text), float(text.count(",")), float(len(re.findall(r"[.!?](?:\s|$)", text))),
     )
 
 
+class Evidence:
+    """How much the words of a line speak for furniture: the mean log-odds of the words, learned from labelled lines."""
+
+    def __init__(self, lines: list[str], labels: np.ndarray):
+        counts = [Counter(), Counter()]
+        for line, bad in zip(lines, labels, strict=True):
+            counts[int(bad)].update(set(self.words_of(line)))
+        every = [w for w in counts[0].keys() | counts[1].keys() if counts[0][w] + counts[1][w] >= LEAST_LINES]
+        total = [sum(c.values()) + SMOOTHING * (len(every) + 1) for c in counts]
+        self.odds = {w: float(np.log((counts[1][w] + SMOOTHING) / total[1]) - np.log((counts[0][w] + SMOOTHING) / total[0])) for w in every}
+
+    @staticmethod
+    def words_of(line: str) -> list[str]:
+        return [w.lower() for w in _LETTERS.findall(line)]
+
+    def of(self, lines: list[str]) -> np.ndarray:
+        out = np.zeros(len(lines), np.float32)
+        for i, line in enumerate(lines):
+            words = self.words_of(line)
+            if words:
+                out[i] = sum(self.odds.get(w, 0.0) for w in words) / len(words)
+        return out
+
+
 def blocks_of(text: str | None) -> list[tuple[int, str]]:
     """(line number from 1, line) of the lines with a visible character."""
     return [(i, line) for i, line in enumerate(text.split("\n"), 1) if _VISIBLE.search(line)] if text else []
 
 
-def features(pages: list[list[str]]) -> np.ndarray:
-    """Features of all blocks of the pages, in order."""
+def features(pages: list[list[str]], evidence: np.ndarray) -> np.ndarray:
+    """Features of all blocks of the pages, in order; ``evidence``: that of each block's words."""
     sizes = np.fromiter(map(len, pages), np.int64, len(pages))
     own = np.array([_own(line) for page in pages for line in page], np.float32).reshape(-1, _OWN)
     n = len(own)
     if not n:
         return np.empty((0, len(FEATURES)), np.float32)
+    own = np.column_stack([own, evidence])
     page = np.repeat(np.arange(len(pages)), sizes)
     start = np.repeat(np.cumsum(sizes) - sizes, sizes)
     place = np.arange(n) - start
     left = np.repeat(sizes, sizes) - 1 - place
+    same = page[1:] == page[:-1]
 
-    def shifted(column: int, step: int) -> np.ndarray:
-        out = np.full(n, -1, np.float32)
-        if step < 0:
-            same = page[1:] == page[:-1]
-            out[1:][same] = own[:-1, column][same]
-        else:
-            same = page[1:] == page[:-1]
-            out[:-1][same] = own[1:, column][same]
-        return out
+    def pair(name: str) -> list[np.ndarray]:
+        column = own[:, FEATURES.index(name)]
+        before, after = np.full(n, -1, np.float32), np.full(n, -1, np.float32)
+        before[1:][same], after[:-1][same] = column[:-1][same], column[1:][same]
+        return [before, after]
 
-    at = {name: i for i, name in enumerate(FEATURES)}
     short = own[:, 0] < SHORT
     # Runs of short blocks of one page.
-    new = np.ones(n, bool)
-    new[1:] = (page[1:] != page[:-1]) | (short[1:] != short[:-1])
+    new = np.r_[True, ~same | (short[1:] != short[:-1])]
     run = np.cumsum(new) - 1
     run_size = np.bincount(run)[run] * short
-    run_menu = (np.bincount(run, own[:, at["menu"]]) / np.bincount(run))[run] * short
-    # Blocks since the last introduction to a list of links, within its run of short blocks.
-    index = np.arange(n)
-    last = np.maximum.accumulate(np.where(own[:, at["intro"]] > 0, index, -1))
-    since = np.where((last >= 0) & (run[np.maximum(last, 0)] == run), index - last, 99)
+    run_evidence = (np.bincount(run, evidence) / np.bincount(run))[run] * short
     longest = np.maximum.reduceat(own[:, 0], np.unique(start))[np.searchsorted(np.unique(start), start)]
-    pair = lambda name: [shifted(at[name], -1), shifted(at[name], 1)]
-    columns = [np.minimum(place, 20), np.minimum(left, 20), *pair("words"), *pair("link_density"), *pair("menu"), *pair("notice"), *pair("ends"), run_size, run_menu, since, *pair("teaser"), longest]
+    columns = [np.minimum(place, 20), np.minimum(left, 20), *pair("words"), *pair("link_density"), *pair("evidence"), *pair("ends"), run_size, run_evidence, longest]
     return np.column_stack([own, *columns]).astype(np.float32)
 
 
@@ -185,12 +189,29 @@ def labelled_pages(path: str | Path = LABELLED) -> tuple[list[list[str]], np.nda
     return pages + [page] * bool(page), np.array(labels, bool)
 
 
-def page_tree(path: str | Path = LABELLED) -> Tree:
-    pages, labels = labelled_pages(path)
-    return Tree(features(pages), labels)
+class PageModel:
+    """The tree and the evidence of words, trained on labelled pages."""
+
+    def __init__(self, pages: list[list[str]], labels: np.ndarray):
+        lines = [line for page in pages for line in page]
+        fold = np.repeat(np.arange(len(pages)), [len(p) for p in pages]) % FOLDS
+        pick = lambda mask: [lines[i] for i in np.flatnonzero(mask)]
+        own = np.zeros(len(lines), np.float32)
+        for k in range(FOLDS):
+            own[fold == k] = Evidence(pick(fold != k), labels[fold != k]).of(pick(fold == k))
+        self.evidence = Evidence(lines, labels)
+        self.tree = Tree(features(pages, own), labels)
+
+    def judge(self, pages: list[list[str]]) -> np.ndarray:
+        """Whether each block of the pages is furniture."""
+        return self.tree.predict(features(pages, self.evidence.of([line for page in pages for line in page]))) >= 0.5
+
+
+def page_model(path: str | Path = LABELLED) -> PageModel:
+    return PageModel(*labelled_pages(path))
 
 
-def furniture(texts: list[str | None], tree: Tree) -> list[list[int]]:
+def furniture(texts: list[str | None], model: PageModel) -> list[list[int]]:
     """Numbers of the lines of each text that are not main body."""
     split = [blocks_of(t) for t in texts]
     out, start = [], 0
@@ -200,7 +221,7 @@ def furniture(texts: list[str | None], tree: Tree) -> list[list[int]]:
             size += len(split[stop])
             stop += 1
         part = split[start:stop]
-        judged = tree.predict(features([[line for _, line in page] for page in part])) >= 0.5
+        judged = model.judge([[line for _, line in page] for page in part])
         at = 0
         for page in part:
             out.append([number for (number, _), bad in zip(page, judged[at : at + len(page)], strict=True) if bad])
@@ -229,11 +250,11 @@ def furniture_lines(pages: DataFrame, labelled: str | Path = LABELLED) -> DataFr
     Lines are split at line feeds and count from 1; lines without visible characters have no row. Null, empty and blank
     texts have none. Rows of one id count once.
     """
-    tree = pages.sparkSession.sparkContext.broadcast(page_tree(labelled))
+    model = pages.sparkSession.sparkContext.broadcast(page_model(labelled))
 
     def run(batches):
         for pdf in batches:
-            found = furniture(pdf["text"].tolist(), tree.value)
+            found = furniture(pdf["text"].tolist(), model.value)
             sizes = [len(f) for f in found]
             yield pd.DataFrame({"chunk_id": np.repeat(pdf["chunk_id"].to_numpy(object), sizes), "line_no": np.array([n for f in found for n in f], np.int32)})
 
@@ -242,13 +263,13 @@ def furniture_lines(pages: DataFrame, labelled: str | Path = LABELLED) -> DataFr
 
 def main_body(pages: DataFrame, labelled: str | Path = LABELLED) -> DataFrame:
     """(chunk_id, body): each text without its furniture lines; null stays null."""
-    tree = pages.sparkSession.sparkContext.broadcast(page_tree(labelled))
+    model = pages.sparkSession.sparkContext.broadcast(page_model(labelled))
 
     def run(batches):
         for pdf in batches:
             texts = [t if isinstance(t, str) else None for t in pdf["text"]]
             bodies = []
-            for text, bad in zip(texts, furniture(texts, tree.value), strict=True):
+            for text, bad in zip(texts, furniture(texts, model.value), strict=True):
                 drop = set(bad)
                 bodies.append(None if text is None else "\n".join(line for i, line in enumerate(text.split("\n"), 1) if i not in drop))
             yield pd.DataFrame({"chunk_id": pdf["chunk_id"].to_numpy(object), "body": pd.Series(bodies, dtype=object)})
