@@ -1,9 +1,12 @@
 """Subjects of documents by interpolated n-gram language models.
 
-There is one model per subject; their even mixture is the background model, so that the background knows every word
-sequence as well as the subjects do, however much text they have. A sentence is about the subject whose model needs the fewest nats
-per token, if it saves enough against the background; the share of a document's words in such sentences decides. The
-models are trained on a bounded sample of labelled documents, sentence by sentence: first on documents with one label,
+There is one model per subject and one of all text. The background mixes the model of all text evenly with the mean of the
+subjects' models, so that it knows what is about no subject as well as every word sequence that the subjects know. For each
+sentence the cross-entropy per token under each subject's model is compared with that under the background. The subject
+that saves most is accepted if it saves at least its own threshold, which is calibrated on labelled documents that the
+models haven't seen; the share of a document's words in sentences of a subject decides, so a document may have several.
+
+The models are trained on a bounded sample of labelled documents, sentence by sentence: first on documents with one label,
 then again on the sentences that the models assign to a label of their document. So documents with several labels help,
 and sentences under a wrong label, or about nothing, are left to the background.
 """
@@ -17,14 +20,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.session import skipping_empty
+from brindle.session import bounded_broadcast, skipping_empty
 
-#: Labelled documents per subject that the models are fitted on; the least by a hash of the id. Bounds the model.
-SAMPLE_PER_SUBJECT = 1000
+#: Labelled documents per subject that the models are fitted on, the least by a hash of the id, and their characters; the
+#: bounds of the sample, and so of the model. Documents of more characters are not sampled.
+SAMPLE_PER_SUBJECT, SAMPLE_CHARS = 1000, 1_000_000
+#: One labelled document of so many is kept from the training, to calibrate the thresholds.
+HELD_OUT = 4
+#: Thresholds that are tried for each subject.
+STEPS = 32
 #: Occurrences at which a word's own counts weigh as much as the background's, and followers that every history has on top.
 UNIGRAM_K, BIGRAM_K = 4.0, 5.0
-#: What a sentence must save against the background to be about a subject, in units of what one certain word saves.
-ACCEPT = 1.2
+#: Nats per token that a sentence must save against the background before the thresholds are calibrated.
+UNCALIBRATED = 0.01
 #: Words of a sentence that counts as running text.
 LEAST_WORDS = 4
 #: Share of the running text from which a document is about a subject.
@@ -90,9 +98,10 @@ class SubjectModels:
         self.own, self.lower = 1 / (counts + followers), followers / (counts + followers)
         self.pair_counts = pair_counts.astype(np.float32)
         self.size = v
+        self.accept = np.full(k, UNCALIBRATED)
 
     def saved(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Nats that each subject's model saves against the background, for each sentence."""
+        """Nats per token that each subject's model saves against the background, for each sentence."""
         starts = np.cumsum(sizes) - sizes
         p = self.unigram[ids]
         first = np.zeros(len(ids), bool)
@@ -104,8 +113,8 @@ class SubjectModels:
         own = self.pair_counts[np.where(known, place, len(self.pairs))]
         before = ids[at - 1]
         p[at] = own * self.own[before] + self.lower[before] * p[at]
-        p = p[:, :-1]
-        return np.add.reduceat(np.log(p) - np.log(p.mean(axis=1, keepdims=True)), starts, axis=0)
+        background = (p[:, :-1].mean(axis=1, keepdims=True) + p[:, -1:]) / 2
+        return np.add.reduceat(np.log(p[:, :-1]) - np.log(background), starts, axis=0) / sizes[:, None]
 
     def encoded(self, parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         lookup = self.words.get
@@ -116,30 +125,66 @@ class SubjectModels:
         """Index of each sentence's subject, -1 for none."""
         return self.assign_encoded(*self.encoded(parts))
 
-    def assign_encoded(self, ids: np.ndarray, sizes: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
-        """The same of encoded sentences; where the best subject is not ``allowed``, none."""
-        out = np.full(len(sizes), -1)
+    def best(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(subject that saves most, what it saves per token) of each encoded sentence."""
+        which, value = np.zeros(len(sizes), np.int64), np.zeros(len(sizes))
         ends = np.cumsum(sizes)
         start = 0
         while start < len(sizes):
             base = int(ends[start - 1]) if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + TOKENS_AT_ONCE, side="right")))
             saved = self.saved(ids[base : int(ends[stop - 1])], sizes[start:stop])
-            best = saved.argmax(axis=1)
-            at = np.arange(len(best))
-            good = saved[at, best] >= ACCEPT * np.log(max(2, len(self.subjects)))
-            if allowed is not None:
-                good &= allowed[start + at, best]
-            out[start:stop] = np.where(good, best, -1)
+            which[start:stop], value[start:stop] = saved.argmax(axis=1), saved.max(axis=1)
             start = stop
-        return out
+        return which, value
+
+    def assign_encoded(self, ids: np.ndarray, sizes: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
+        """The same of encoded sentences; where the best subject is not ``allowed``, none."""
+        if not len(self.subjects):
+            return np.full(len(sizes), -1)
+        which, value = self.best(ids, sizes)
+        good = value >= self.accept[which]
+        if allowed is not None:
+            good &= allowed[np.arange(len(which)), which]
+        return np.where(good, which, -1)
+
+
+def calibrated(which: np.ndarray, value: np.ndarray, sizes: np.ndarray, doc: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Thresholds of all subjects that agree best with the labels of held-out documents.
+
+    which, value, sizes, doc: best subject, what it saves per token, words and document of each sentence; labels: (documents,
+    subjects). The F1 of the documents' labels is maximised, first by one threshold for all subjects, then by one for each
+    in turn, twice. Of equal ones the nearest to the common threshold counts, so subjects without labels keep that.
+    """
+    n, k = labels.shape
+    if not len(value) or not labels.any():
+        return np.full(k, UNCALIBRATED)
+    grid = np.unique(np.quantile(value, np.linspace(0, 0.8, STEPS)))
+    cell = doc * k + which
+
+    def agreement(accept: np.ndarray) -> float:
+        words = np.bincount(cell, sizes * (value >= accept[which]), minlength=n * k).reshape(n, k)
+        found = words >= SHARE * np.maximum(words.sum(axis=1, keepdims=True), 1)
+        return 2 * (found & labels).sum() / (found.sum() + labels.sum())
+
+    common = max((agreement(np.full(k, g)), -abs(g), g) for g in grid)[2]
+    accept = np.full(k, common)
+    for _ in range(2):
+        for s in np.flatnonzero(labels.any(axis=0)):
+            tries = []
+            for g in grid:
+                accept[s] = g
+                tries.append((agreement(accept), -abs(g - common), g))
+            accept[s] = max(tries)[2]
+    return accept
 
 
-def fit(labelled: pd.DataFrame, subjects: list[str], rounds: int = 3) -> SubjectModels:
-    """Models from (text, list of subjects) rows."""
+def fit(labelled: pd.DataFrame, subjects: list[str], rounds: int = 3, calibrate: bool = True) -> SubjectModels:
+    """Models from (text, list of subjects) rows. One row of ``HELD_OUT`` calibrates the thresholds of models that are
+    fitted on the others; with what these make of all rows the models are fitted once more."""
     index = {s: i for i, s in enumerate(subjects)}
     words: dict[str, int] = {}
-    ids, sizes, allowed = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty((0, len(subjects)), bool)]
+    ids, sizes, allowed, doc = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty((0, len(subjects)), bool)], []
     for text, own in zip(labelled["text"], labelled["subjects"], strict=True):
         names = sorted({index[s] for s in own if s in index})
         parts = sentences(text) if names else []
@@ -148,22 +193,41 @@ def fit(labelled: pd.DataFrame, subjects: list[str], rounds: int = 3) -> Subject
             sizes.append(np.fromiter(map(len, parts), np.int64, len(parts)))
             allowed.append(np.zeros((len(parts), len(subjects)), bool))
             allowed[-1][:, names] = True
-    ids, sizes, allowed = np.concatenate(ids), np.concatenate(sizes), np.concatenate(allowed)
-    assigned = np.where(allowed.sum(axis=1) == 1, allowed.argmax(axis=1), -1) if len(subjects) else np.full(len(sizes), -1)
-    models = SubjectModels(subjects, words, ids, sizes, assigned)
-    for _ in range(rounds if len(sizes) else 0):
+            doc += [len(allowed) - 2] * len(parts)
+    ids, sizes, allowed, doc = np.concatenate(ids), np.concatenate(sizes), np.concatenate(allowed), np.array(doc, np.int64)
+    single = np.where(allowed.sum(axis=1) == 1, allowed.argmax(axis=1), -1) if len(subjects) else np.full(len(sizes), -1)
+    held = doc % HELD_OUT == HELD_OUT - 1 if calibrate else np.zeros(len(doc), bool)
+
+    def part(keep: np.ndarray):
+        return ids[np.repeat(keep, sizes)], sizes[keep]
+
+    own, n = part(~held)
+    models = SubjectModels(subjects, words, own, n, single[~held])
+    for _ in range(rounds if len(n) else 0):
+        models = SubjectModels(subjects, words, own, n, models.assign_encoded(own, n, allowed[~held]))
+    if held.any():
+        _, place = np.unique(doc[held], return_inverse=True)
+        labels = np.zeros((int(place.max()) + 1, len(subjects)), bool)
+        labels[place] = allowed[held]
+        rest, m = part(held)
+        accept = calibrated(*models.best(rest, m), m, place, labels)
         models = SubjectModels(subjects, words, ids, sizes, models.assign_encoded(ids, sizes, allowed))
+        models.accept = accept
     return models
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, per_subject: int = SAMPLE_PER_SUBJECT) -> pd.DataFrame:
-    """At most ``per_subject`` labelled documents of each subject, by a hash of the id, with all their labels."""
+def labelled_sample(documents: DataFrame, labels: DataFrame, per_subject: int = SAMPLE_PER_SUBJECT, chars: int = SAMPLE_CHARS) -> pd.DataFrame:
+    """Labelled documents by a hash of the id, at most ``per_subject`` and ``chars`` characters for each subject, with all
+    their labels. What comes to the driver is bounded by subjects * ``chars``."""
     own = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).where("doc_id is not null and subject is not null").distinct()
-    place = F.row_number().over(Window.partitionBy("subject").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = own.withColumn("place", place).where(F.col("place") <= per_subject).select("doc_id").distinct()
-    lists = own.join(picked, "doc_id", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
     texts = documents.select("doc_id", "text").where("text is not null")
-    return texts.join(F.broadcast(lists), "doc_id").orderBy("doc_id").toPandas()
+    sizes = texts.select("doc_id", F.length("text").alias("n")).where(F.col("n") <= chars)
+    order = Window.partitionBy("subject").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = own.join(sizes, "doc_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_subject)
+    picked = picked.withColumn("total", F.sum("n").over(Window.partitionBy("subject").orderBy("place"))).where(F.col("total") <= chars).select("doc_id").distinct()
+    lists = own.join(picked, "doc_id", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
+    # The bound is that of the sample: per_subject ids a subject.
+    return texts.join(bounded_broadcast(lists), "doc_id").orderBy("doc_id").toPandas()
 
 
 def shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import re
 import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -188,8 +189,13 @@ def test_boilerplate_held_out():
     test = set(order[: len(pages) // 4].tolist())
     pick = lambda keep: ([p for i, p in enumerate(pages) if (i in test) != keep], np.concatenate([labels[sizes[i] : sizes[i + 1]] for i in range(len(pages)) if (i in test) != keep]))
     (own, y), (rest, z) = pick(True), pick(False)
-    tree = boilerplate.Tree(boilerplate.features(own), y)
-    assert ((tree.predict(boilerplate.features(rest)) >= 0.5) == z).mean() > 0.97
+    assert (boilerplate.PageModel(own, y).judge(rest) == z).mean() > 0.97
+
+
+def test_boilerplate_of_other_pages():
+    """Pages of other kinds, written and labelled by hand line by line; no pattern and no table had a part in them."""
+    pages, labels = boilerplate.labelled_pages(Path(__file__).with_name("hand_pages.tsv"))
+    assert len(labels) > 100 and (boilerplate.page_model().judge(pages) == labels).mean() > 0.85
 
 
 def test_boilerplate_table(spark):
@@ -343,6 +349,42 @@ def test_subjects(spark):
     assert sum(r.n_documents for r in subjects.composition(subjects.shares(df, lab, names).where("share >= 0.25")).collect()) >= 240
 
 
+def test_subject_thresholds_are_calibrated():
+    """Thresholds differ by subject, and taking them away changes what is found."""
+    rng = random.Random(9)
+    topics = {"law": "court judge clause appeal contract".split(), "sport": "match goal referee relay coach".split()}
+    rows = []
+    for i in range(200):
+        own = rng.choice(sorted(topics))
+        topical = " ".join(" ".join(["the", rng.choice(topics[own]), "was", "near", rng.choice(WORDS)]) + "." for _ in range(3))
+        # Small talk, which is closer to one subject's texts than to the other's, is about neither.
+        small = " ".join(" ".join(["we", "can", "meet", rng.choice(["soon", "later"]), rng.choice(WORDS)]) + "." for _ in range(3 if own == "law" else 1))
+        rows.append((f"{topical} {small}", [own]))
+    labelled = subjects.pd.DataFrame(rows, columns=["text", "subjects"])
+    models, plain = (subjects.fit(labelled, sorted(topics), calibrate=c) for c in (True, False))
+    assert (plain.accept == subjects.UNCALIBRATED).all() and (models.accept != subjects.UNCALIBRATED).any()
+    parts = subjects.sentences("the judge was near alpha. we can meet soon alpha. the goal was near echo. the clause was near we can meet later.")
+    models.accept = plain.accept + 10
+    assert (models.assign(parts) == -1).all() and (plain.assign(parts) >= 0).any()
+
+
+def test_calibration_of_thresholds():
+    which, value = np.array([0, 1, 0, 1, 0, 1]), np.array([0.9, 0.5, 0.2, 0.4, 0.8, -0.3])
+    sizes, doc = np.full(6, 10), np.array([0, 0, 1, 1, 2, 2])
+    labels = np.array([[1, 1], [0, 1], [1, 0]], bool)
+    accept = subjects.calibrated(which, value, sizes, doc, labels)
+    assert 0.2 < accept[0] <= 0.8 and -0.3 < accept[1] <= 0.4
+    assert (subjects.calibrated(which, value, sizes, doc, labels & False) == subjects.UNCALIBRATED).all()
+
+
+def test_the_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * (100 if i else 5000)) for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(50)], "doc_id long, subject string")
+    got = subjects.labelled_sample(docs, labels, per_subject=10, chars=750)
+    assert len(got) == 14 and 0 not in set(got["doc_id"])
+    assert len(subjects.labelled_sample(docs, labels, per_subject=5)) == 10
+
+
 def test_personal_items_in_long_segments():
     """An item is found whole wherever it stands in a text without sentence ends."""
     field, phone = personal.load(), "+1 206 555 0108"
