@@ -286,11 +286,11 @@ def _slices(texts: list, size: int):
         start = stop
 
 
-def compare(item: list[str], words: list[str], hits, form, exact: bool, least: int, per_edit: int) -> tuple[int, int, bool]:
+def compare(item: list[str], words: list[str], hits, form, exact: bool, templates: bool, least: int, per_edit: int) -> tuple[int, int, bool]:
     """(words of the longest passage of the item, words of the longest passage of its template, whether the slots agree).
 
     hits: (place in the document, place in the item) of shared template windows; ``exact``: whether enough of them are the
-    same words. The slots agree if each word of the item that a placeholder stands for meets one and the same word of the
+    same words; ``templates``: whether their templates are compared too. The slots agree if each word of the item that a placeholder stands for meets one and the same word of the
     document in all windows of the passage, and no two of them meet one.
     """
     at, place = np.array([h[0] for h in hits]), np.array([h[1] for h in hits])
@@ -299,7 +299,7 @@ def compare(item: list[str], words: list[str], hits, form, exact: bool, least: i
     least = min(least, len(item))
     passage, template, steady = 0, 0, True
     gaps = np.flatnonzero(np.diff(at) > len(item) + 20) + 1
-    item_forms = [form(w) for w in item]
+    item_forms = [form(w) for w in item] if templates else []
     for a, b in zip([0, *gaps], [*gaps, len(at)], strict=True):
         # The item's words before and after the hits, with room for added ones.
         first = max(0, int((at[a:b] - place[a:b]).min()) - len(item) // 5)
@@ -307,6 +307,8 @@ def compare(item: list[str], words: list[str], hits, form, exact: bool, least: i
         part = words[first:last]
         if exact:
             passage = max(passage, longest_passage(item, part, least, per_edit))
+        if not templates:
+            continue
         own = longest_passage(item_forms, [form(w) for w in part], least, per_edit) if len(set(place[a:b].tolist())) >= min(TEMPLATE_WINDOWS, max(1, len(item) - WINDOW + 1)) else 0
         if own > template:
             template = own
@@ -323,14 +325,16 @@ def compare(item: list[str], words: list[str], hits, form, exact: bool, least: i
     return passage, template, steady
 
 
-def leaks(documents: DataFrame, items: DataFrame, least: int = 15, per_edit: int = 10) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, least: int = 15, per_edit: int = 10, templates: bool = True) -> DataFrame:
     """(doc_id, item_id, passage_words, template_words, reparameterised): documents that share a passage, or the template
     of a passage, with evaluation items.
 
     passage_words is the length of the longest passage of the item, a closing stock instruction aside, of at least
     ``least`` words with at most one word in ``per_edit`` replaced, dropped or added; 0 where there is none. template_words
     is the same of the template forms. reparameterised tells the documents that hold the template but not the words, with
-    slots that agree; those whose slots contradict each other, and hold no passage either, have no row. Items shorter than
+    slots that agree; those whose slots contradict each other, and hold no passage either, have no row. Without
+    ``templates`` only pairs whose slots agree in windows enough for a passage are aligned, and only their words:
+    template_words is 0 then, and nothing is reparameterised. Items shorter than
     ``least`` words must be contained whole; those of less than ``WINDOW`` words have no window and no row. Letter case,
     punctuation, invisible characters, line breaks, line prefixes and markup do not count. Null, empty and blank texts on
     either side give no row. Rows of one id count by their best text. The corpus is read once for the windows and once
@@ -372,11 +376,12 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 15, per_edit: int
     )
     # What a passage or the template of one has at least; an item of less than ``least`` words by the windows it has.
     long = F.col("n_words") >= least
-    pairs = checkpointed(met.where(F.when(long, (F.col("same") >= RUN_WINDOWS) | (F.col("n") >= TEMPLATE_WINDOWS)).otherwise(True)))
+    enough = F.col("same") >= F.when(long, RUN_WINDOWS).otherwise(1)
+    pairs = checkpointed(met.where((enough | (F.col("n") >= TEMPLATE_WINDOWS) | ~long) if templates else enough))
     named = texts.join(bounded_broadcast(pairs.select("doc").distinct()), "doc", "left_semi").select("doc", "text").dropDuplicates(["doc"])
     both = pairs.join(named, "doc")
     both = spread_join(both, own.select("item", "words").dropDuplicates(["item"]), "item")
-    both = both.select("doc_id", "item_id", "text", "words", "hits", (~long | (F.col("same") >= RUN_WINDOWS)).alias("exact")).repartition(blocks(spark))
+    both = both.select("doc_id", "item_id", "text", "words", "hits", enough.alias("exact")).repartition(blocks(spark))
 
     def check(batches):
         known = forms()
@@ -385,7 +390,7 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 15, per_edit: int
             for doc_id, item_id, text, words, hits, exact in zip(pdf["doc_id"], pdf["item_id"], pdf["text"], pdf["words"], pdf["hits"], pdf["exact"], strict=True):
                 own = inner_names(text)
                 form = lambda w, own=own: "<name>" if w in own else known.form(w)
-                passage, template, steady = compare(list(words), words_of(text), [(h["at"], h["place"]) for h in hits], form, exact, least, per_edit)
+                passage, template, steady = compare(list(words), words_of(text), [(h["at"], h["place"]) for h in hits], form, exact, templates, least, per_edit)
                 if passage or (template and steady):
                     out.append((doc_id, item_id, passage, template, not passage))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "passage_words", "template_words", "reparameterised"])
