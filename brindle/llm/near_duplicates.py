@@ -7,9 +7,11 @@ possible, and all of them are exact, so no pair at or above the threshold is los
 * length: a text of n n-grams can only match texts of at least ``threshold * n``;
 * position: n-grams of a text are in one global order, rare ones first. A shared n-gram at places i and j leaves room for
   at most ``1 + min(n - i - 1, m - j - 1)`` common ones. So only the rare head of each text enters the product at all;
-* parity sketch: texts differ in at least as many n-grams as the bits in which the parities of their hash bins differ.
+* parity sketch: texts differ in at least as many n-grams as the bits in which the parities of their hash bins differ. It
+  is made for the texts of the pairs that the product leaves only.
 
-What survives is held against the whole n-gram sets.
+What survives is held against the whole n-gram sets. The number of blocks follows from the bytes of the matrix, and a
+column that very many texts share is cut into strips of texts, each pair of which is a column of its own.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.session import blocks, bounded_broadcast, checkpointed
+from brindle.session import blocks_of_bytes, bounded_broadcast, checkpointed, spread_join
 
 #: Bins of the corpus-wide n-gram counts that give the order; a fixed number, whatever the corpus.
 COUNT_BITS = 20
 #: Bits of the parity sketch.
 SKETCH = 512
+#: Bytes of the matrix that a block is meant to hold, and texts of a column's strip.
+BLOCK_BYTES, STRIP = 8 << 20, 20_000
 #: Pairs that a block's task holds at once.
 PAIRS_AT_ONCE = 4_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -65,8 +69,9 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
-def _bin_counts(texts: DataFrame, size: int) -> np.ndarray:
-    """Corpus-wide counts of n-grams per hash bin, on a logarithmic scale of one byte: 2**COUNT_BITS bytes at any scale."""
+def _bin_counts(texts: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """(corpus-wide counts of n-grams per hash bin, on a logarithmic scale of one byte: 2**COUNT_BITS bytes at any scale;
+    number of all n-grams)."""
     bins = 1 << COUNT_BITS
 
     def count(batches):
@@ -85,16 +90,33 @@ def _bin_counts(texts: DataFrame, size: int) -> np.ndarray:
 
         total = sum(np.frombuffer(c, "<u4").astype(np.int64) for c in pdf["counts"])
         scale = np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8)
-        return pd.DataFrame({"b": [int(pdf["b"].iloc[0])], "scale": [scale.tobytes()]})
+        return pd.DataFrame({"b": [int(pdf["b"].iloc[0])], "scale": [scale.tobytes()], "n": [int(np.sum(total))]})
 
-    parts = texts.select("text").mapInArrow(count, "b long, counts binary").groupBy("b").applyInPandas(merge, "b long, scale binary")
+    parts = texts.select("text").mapInArrow(count, "b long, counts binary").groupBy("b").applyInPandas(merge, "b long, scale binary, n long")
     found = sorted(parts.collect(), key=lambda r: r["b"])
-    return np.concatenate([np.frombuffer(r["scale"], np.uint8) for r in found]) if found else np.zeros(bins, np.uint8)
+    return np.concatenate([np.frombuffer(r["scale"], np.uint8) for r in found]) if found else np.zeros(bins, np.uint8), sum(r["n"] for r in found)
+
+
+def _strips(hashes: np.ndarray, places: np.ndarray, docs: np.ndarray, keys: np.ndarray, scale: np.ndarray):
+    """Postings (hash, place, text, side) in which those of columns with more than ``STRIP`` texts are repeated: once for
+    each pair of strips that has the text's own. In a column of two strips, side 1 and 2 tell them apart; else it is 0."""
+    n_strips = np.ceil((2.0 ** (scale[(hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] / 8) - 1) / STRIP).astype(np.int64)
+    if not (n_strips > 1).any():
+        return hashes, places, docs, np.zeros(len(hashes), np.int8)
+    n_strips = np.maximum(n_strips, 1)
+    at = np.repeat(np.arange(len(hashes)), n_strips)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(n_strips) - n_strips, n_strips)
+    own = (keys[docs[at]].astype(np.int64).view(np.uint64) % n_strips[at].astype(np.uint64)).astype(np.int64)
+    side = np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.int8)
+    low, high = np.minimum(own, other).astype(np.uint64), np.maximum(own, other).astype(np.uint64)
+    mixed = (hashes[at] ^ (low * _M1 + high * _M2)) * _M3
+    many = n_strips[at] > 1
+    return np.where(many, mixed ^ (mixed >> np.uint64(31)), hashes[at]), places[at], docs[at], side
 
 
 def _emit(keys, texts, scale, size: int, threshold: float, n_blocks: int, seen: set):
     """Posting blobs of one batch of texts, by block."""
-    own_keys, sizes, sketches, docs, hashes, places = [], [], [], [], [], []
+    own_keys, sizes, docs, hashes, places = [], [], [], [], []
     for key, text in zip(keys, texts, strict=True):
         if key in seen:
             continue
@@ -105,7 +127,6 @@ def _emit(keys, texts, scale, size: int, threshold: float, n_blocks: int, seen:
             continue
         head = n - math.ceil(threshold * n - 1e-9) + 1
         order = np.argsort(scale[(h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], kind="stable")[:head]
-        sketches.append(np.packbits(np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1))
         docs.append(np.full(len(order), len(own_keys), np.int32))
         hashes.append(h[order])
         places.append(np.arange(len(order), dtype=np.int32))
@@ -113,17 +134,17 @@ def _emit(keys, texts, scale, size: int, threshold: float, n_blocks: int, seen:
         sizes.append(n)
     if not own_keys:
         return
-    own_keys, sizes, sketches = np.array(own_keys, np.int64), np.array(sizes, np.int32), np.stack(sketches)
-    docs, hashes, places = np.concatenate(docs), np.concatenate(hashes), np.concatenate(places)
+    own_keys, sizes = np.array(own_keys, np.int64), np.array(sizes, np.int32)
+    hashes, places, docs, sides = _strips(np.concatenate(hashes), np.concatenate(places), np.concatenate(docs), own_keys, scale)
     block = ((hashes >> np.uint64(32)) % np.uint64(n_blocks)).astype(np.int32)
-    by = np.argsort(block, kind="stable")
-    block, docs, hashes, places = block[by], docs[by], (hashes[by] & np.uint64(0xFFFFFFFF)).astype("<u4"), places[by]
+    by = np.lexsort((docs, block))
+    block, docs, hashes, places, sides = block[by], docs[by], (hashes[by] & np.uint64(0xFFFFFFFF)).astype("<u4"), places[by], sides[by]
     cuts = np.flatnonzero(np.diff(block)) + 1
     out_blocks, blobs = [], []
     for a, b in zip([0, *cuts], [*cuts, len(block)], strict=True):
-        present, at, counts = np.unique(docs[a:b], return_index=True, return_counts=True)
+        present, counts = np.unique(docs[a:b], return_counts=True)
         head = np.array([len(present), b - a], "<i8").tobytes()
-        blobs.append(head + own_keys[present].tobytes() + sizes[present].tobytes() + counts.astype("<i4").tobytes() + sketches[present].tobytes() + hashes[a:b].tobytes() + places[a:b].tobytes())
+        blobs.append(head + own_keys[present].tobytes() + sizes[present].tobytes() + counts.astype("<i4").tobytes() + hashes[a:b].tobytes() + places[a:b].tobytes() + sides[a:b].tobytes())
         out_blocks.append(int(block[a]))
     yield pa.RecordBatch.from_arrays([pa.array(out_blocks, pa.int32()), pa.array(blobs, pa.binary())], ["block", "blob"])
 
@@ -132,7 +153,7 @@ def _read_blob(blob: bytes):
     d, p = np.frombuffer(blob, "<i8", 2)
     at = 16
     out = []
-    for kind, n in (("<i8", d), ("<i4", d), ("<i4", d), ("u1", d * SKETCH // 8), ("<u4", p), ("<i4", p)):
+    for kind, n in (("<i8", d), ("<i4", d), ("<i4", d), ("<u4", p), ("<i4", p), ("i1", p)):
         a = np.frombuffer(blob, kind, int(n), at)
         at += a.nbytes
         out.append(a)
@@ -147,7 +168,7 @@ def _product(batches, threshold: float):
             found.setdefault(block, []).append(_read_blob(blob))
     for block in list(found):
         parts = found.pop(block)
-        keys, sizes, counts, sketches, tokens, places = (np.concatenate([p[k] for p in parts]) for k in range(6))
+        keys, sizes, counts, tokens, places, sides = (np.concatenate([p[k] for p in parts]) for k in range(6))
         del parts
         # The same text may come from several tasks; one of its entries is enough.
         _, first = np.unique(keys, return_index=True)
@@ -155,11 +176,10 @@ def _product(batches, threshold: float):
         single[first] = True
         docs = np.repeat(np.arange(len(keys)), counts)
         own = single[docs]
-        docs, tokens, places = docs[own], tokens[own], places[own]
-        sketches = sketches.reshape(-1, SKETCH // 8).view(np.uint64)
+        docs, tokens, places, sides = docs[own], tokens[own], places[own], sides[own]
         # Columns of the block, rows of a column by size: the partners of a row are then those before it.
         order = np.lexsort((sizes[docs], tokens))
-        docs, tokens, places = docs[order], tokens[order], places[order]
+        docs, tokens, places, sides = docs[order], tokens[order], places[order], sides[order]
         n = sizes[docs].astype(np.int64)
         starts = np.concatenate([[True], tokens[1:] != tokens[:-1]]) if len(tokens) else np.empty(0, bool)
         begin = np.flatnonzero(starts)
@@ -190,10 +210,7 @@ def _product(batches, threshold: float):
                     left = one - 1 - np.arange(a, b)
                 room = 1 + np.minimum(n[right] - places[right] - 1, n[left] - places[left] - 1)
                 need = np.ceil(threshold / (1 + threshold) * (n[right] + n[left]) - 1e-9)
-                ok = room >= need
-                right, left, need = right[ok], left[ok], need[ok]
-                differ = np.bitwise_count(sketches[docs[right]] ^ sketches[docs[left]]).sum(axis=1, dtype=np.int64)
-                ok = differ <= n[right] + n[left] - 2 * need
+                ok = (room >= need) & ((sides[right] == 0) | (sides[right] != sides[left]))
                 pairs = np.stack([keys[docs[right[ok]]], keys[docs[left[ok]]]])
                 if pairs.size:
                     pairs = np.unique(np.sort(pairs, axis=0), axis=1)
@@ -208,8 +225,10 @@ def similar_texts(texts: DataFrame, size: int = 5, threshold: float = 0.8) -> Da
     """
     spark = texts.sparkSession
     named = texts.select(F.xxhash64("text").alias("key"), "text").where(F.col("text").isNotNull())
-    n_blocks = blocks(spark)
-    scale = spark.sparkContext.broadcast(_bin_counts(named, size))
+    counts, n_grams = _bin_counts(named, size)
+    # Each n-gram of a head is a posting of 9 bytes, with at most 16 of its text.
+    n_blocks = blocks_of_bytes(spark, 25 * (1 - threshold) * n_grams, BLOCK_BYTES)
+    scale = spark.sparkContext.broadcast(counts)
 
     def postings(batches):
         seen: set[int] = set()
@@ -219,10 +238,37 @@ def similar_texts(texts: DataFrame, size: int = 5, threshold: float = 0.8) -> Da
     spread = named.mapInArrow(postings, "block int, blob binary").repartition(n_blocks, "block")
     pairs = checkpointed(spread.mapInArrow(lambda b: _product(b, threshold), "key_a long, key_b long").distinct())
 
-    involved = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
-    own = named.join(bounded_broadcast(involved), "key", "left_semi").distinct()
-    both = pairs.join(own.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a")
-    both = both.join(own.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b").select("key_a", "key_b", "text_a", "text_b")
+    def sketch(batches):
+        for batch in batches:
+            sizes, bits = [], []
+            for text in batch.column(1).to_pylist():
+                h = np.unique(shingle_hashes(text, size))
+                sizes.append(len(h))
+                bits.append(np.packbits(np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], ["key", "n", "bits"])
+
+    def like(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, m = (batch.column(k).to_numpy() for k in (2, 4))
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(n), -1) for k in (3, 5))
+            differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            need = np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["key_a", "key_b"]).filter(pa.array(differ <= n + m - 2 * need))
+
+    def sides(rows: DataFrame, table: DataFrame, names: list[str]) -> DataFrame:
+        for side in "ab":
+            rows = spread_join(rows, table.toDF("key_" + side, *[f"{c}_{side}" for c in names]), "key_" + side)
+        return rows.select("key_a", "key_b", *[f"{c}_{side}" for side in "ab" for c in names])
+
+    def of_pairs(rows: DataFrame) -> DataFrame:
+        involved = rows.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
+        return named.join(bounded_broadcast(involved), "key", "left_semi").distinct()
+
+    sketches = checkpointed(of_pairs(pairs).mapInArrow(sketch, "key long, n int, bits binary"))
+    near = checkpointed(sides(pairs, sketches.dropDuplicates(["key"]), ["n", "bits"]).mapInArrow(like, "key_a long, key_b long"))
+    both = sides(near, of_pairs(near), ["text"])
 
     def verify(batches):
         for batch in batches:

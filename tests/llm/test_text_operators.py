@@ -161,14 +161,13 @@ def test_near_duplicates(spark, size, threshold):
 
 
 def test_near_duplicate_steps(monkeypatch):
-    """A column longer than what is held at once gives the same pairs."""
-    rng = np.random.default_rng(1)
+    """Columns that are walked in steps or cut into strips give the same pairs."""
     base = " ".join(f"w{i}" for i in range(40))
     texts = [edited(random.Random(i), base, 1) for i in range(60)]
-    scale = np.zeros(1 << near_duplicates.COUNT_BITS, np.uint8)
+    scale = np.full(1 << near_duplicates.COUNT_BITS, round(8 * np.log2(61)), np.uint8)
 
     def pairs():
-        batches = list(near_duplicates._emit(range(60), texts, scale, 3, 0.6, 2, set()))
+        batches = [b for k in range(0, 60, 20) for b in near_duplicates._emit(range(k, k + 20), texts[k : k + 20], scale, 3, 0.6, 2, set())]
         out = set()
         for b in near_duplicates._product(batches, 0.6):
             out |= set(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
@@ -176,7 +175,15 @@ def test_near_duplicate_steps(monkeypatch):
 
     whole = pairs()
     monkeypatch.setattr(near_duplicates, "PAIRS_AT_ONCE", 7)
-    assert pairs() == whole and len(whole) > 1000 and rng is not None
+    assert pairs() == whole and len(whole) > 1000
+    monkeypatch.setattr(near_duplicates, "STRIP", 9)
+    assert pairs() == whole
+
+
+def test_near_duplicates_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(near_duplicates, "STRIP", 5)
+    test_near_duplicates(spark, 3, 0.6)
 
 
 # --- boilerplate
