@@ -13,14 +13,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.session import blocks
+from brindle.session import blocks_of_bytes
 
 #: A container of a bitmap holds this many codes, as in the usual compressed bitmap layouts.
 CONTAINER = 1 << 16
 #: A container with at most this many bits is kept as a sorted array of 16-bit integers, else as packed bits.
 SPARSE = 4096
-#: Share of keys that one range is meant to hold; ranges are a multiple of the session's shuffle partitions.
-RANGES_PER_PARTITION = 8
+#: Bytes of keys that one range is meant to hold.
+RANGE_BYTES = 16 << 20
 #: Parts into which the references of one (key, month) are dealt for the join with the decoded rows.
 SALT = 16
 NO_MONTH = -(1 << 30)
@@ -30,12 +30,18 @@ SEPARATOR = "\x1f"
 class Bitmap:
     """Compressed bitmap over non-negative integers."""
 
-    def __init__(self, codes: np.ndarray):
-        codes = np.unique(codes.astype(np.int64))
-        high = codes // CONTAINER
+    def __init__(self, codes: np.ndarray = np.empty(0, np.int64)):
         self.parts: dict[int, np.ndarray] = {}
-        for h in np.unique(high):
-            self.parts[int(h)] = self._pack((codes[high == h] % CONTAINER).astype(np.uint16))
+        self.add(codes)
+
+    def add(self, codes: np.ndarray) -> None:
+        codes = np.unique(codes.astype(np.int64))
+        cuts = np.flatnonzero(np.diff(codes // CONTAINER)) + 1
+        for own in np.split(codes, cuts) if len(codes) else ():
+            h, low = int(own[0] // CONTAINER), (own % CONTAINER).astype(np.uint16)
+            if h in self.parts:
+                low = np.union1d(np.flatnonzero(self._bits(self.parts[h])).astype(np.uint16) if self.parts[h].dtype == np.uint8 else self.parts[h], low)
+            self.parts[h] = self._pack(low)
 
     @staticmethod
     def _pack(low: np.ndarray) -> np.ndarray:
@@ -79,29 +85,36 @@ def month_of(seconds: Column) -> Column:
 
 
 def _survivors(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One range of keys: encode, build the bitmaps of each month, subtract, decode."""
-    keys, codes = np.unique((pdf["target"] + SEPARATOR + pdf["key"]).to_numpy(str), return_inverse=True)
-    first = np.full(len(keys), np.nan)
-    has = np.zeros(len(keys), bool)
-    stored = pdf["is_parent"].to_numpy()
+    """One range of keys: encode, build the bitmaps of each month, subtract, decode.
+
+    The bitmap of records grows from month to month, so each record is added once.
+    """
+    codes, keys = pd.factorize(pdf["target"] + SEPARATOR + pdf["key"])
+    months, stored = pdf["month"].to_numpy(np.int64), pdf["is_parent"].to_numpy(bool)
+    first, has = np.full(len(keys), np.nan), np.zeros(len(keys), bool)
     has[codes[stored]] = True
     first[codes[stored]] = pdf["first_at"].to_numpy(float)[stored]
-    stored_month = np.full(len(keys), np.iinfo(np.int64).max)
-    stored_month[codes[stored]] = pdf["month"].to_numpy()[stored]
-    ref_codes, ref_months = codes[~stored], pdf["month"].to_numpy()[~stored]
-    out = []
-    for month in np.unique(ref_months):
-        referred = Bitmap(ref_codes[ref_months == month])
-        # A reference without time counts against records of any time.
-        present = Bitmap(np.flatnonzero(has & ((stored_month < month) | (month == NO_MONTH))))
-        left = referred.and_not(present)
-        out.append(pd.DataFrame({"code": left, "month": int(month)}))
-    rows = pd.concat(out) if out else pd.DataFrame({"code": [], "month": []})
-    rows = rows.astype({"code": int, "month": int})
-    split = np.array([k.split(SEPARATOR, 1) for k in keys], object).reshape(-1, 2)
-    code = rows["code"].to_numpy()
+    parents, since = codes[stored], months[stored]
+    order = np.argsort(since, kind="stable")
+    parents, since = parents[order], since[order]
+    refs, ref_months = codes[~stored], months[~stored]
+    order = np.argsort(ref_months, kind="stable")
+    refs, ref_months = refs[order], ref_months[order]
+    names, starts = np.unique(ref_months, return_index=True)
+    present, added = Bitmap(), 0
+    left, left_months = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    # A reference without time counts against records of any time, so it comes last.
+    for k in sorted(range(len(names)), key=lambda k: (names[k] == NO_MONTH, names[k])):
+        upto = len(since) if names[k] == NO_MONTH else int(np.searchsorted(since, names[k], side="left"))
+        present.add(parents[added:upto])
+        added = max(added, upto)
+        own = Bitmap(refs[starts[k] : starts[k + 1] if k + 1 < len(starts) else None]).and_not(present)
+        left.append(own)
+        left_months.append(np.full(len(own), names[k]))
+    code = np.concatenate(left)
+    split = [keys[c].split(SEPARATOR, 1) for c in code]
     # A record without time counts as stored ever since: it is held in every month's bitmap and never decoded.
-    return pd.DataFrame({"target": split[code, 0], "key": split[code, 1], "month": rows["month"].to_numpy("int32"), "parent_at": pd.array(np.where(has[code], first[code], np.nan), dtype="Float64"), "has_parent": has[code]})
+    return pd.DataFrame({"target": [t for t, _ in split], "key": [k for _, k in split], "month": np.concatenate(left_months).astype("int32"), "parent_at": pd.array(np.where(has[code], first[code], np.nan), dtype="Float64"), "has_parent": has[code]}).astype({"target": object, "key": object})
 
 
 def orphans(refs: DataFrame, records: DataFrame) -> DataFrame:
@@ -120,11 +133,12 @@ def orphans(refs: DataFrame, records: DataFrame) -> DataFrame:
     refs = refs.select("ref_table", "ref_field", F.col("record_id").cast("string").alias("record_id"), "target", clean_key(F.col("key")).alias("key"), seconds(F.col("at")).alias("at"))
     refs = refs.where(F.col("key").isNotNull()).withColumn("month", month_of(F.col("at")))
     kept = records.select("target", clean_key(F.col("key")).alias("key"), F.coalesce(seconds(F.col("at")), F.lit(float("-inf"))).alias("at")).where(F.col("key").isNotNull())
-    kept = kept.groupBy("target", "key").agg(F.min("at").alias("first_at"))
+    stored, kept = kept, kept.groupBy("target", "key").agg(F.min("at").alias("first_at"))
     no_time = F.col("first_at") == float("-inf")
     kept = kept.select("target", "key", F.when(no_time, NO_MONTH).otherwise(month_of(F.when(~no_time, F.col("first_at")))).alias("month"), "first_at", F.lit(True).alias("is_parent"))
     named = refs.select("target", "key", "month").distinct().select("target", "key", "month", F.lit(0.0).alias("first_at"), F.lit(False).alias("is_parent"))
-    ranges = blocks(spark) * RANGES_PER_PARTITION
+    size = lambda df: df.agg(F.coalesce(F.sum(F.length("key") + 64), F.lit(0))).first()[0]
+    ranges = blocks_of_bytes(spark, size(refs) + size(stored), RANGE_BYTES)
     both = kept.unionByName(named).withColumn("range", F.pmod(F.xxhash64("target", "key"), F.lit(ranges)))
     left = both.groupBy("range").applyInPandas(lambda pdf: _survivors(pdf), "target string, key string, month int, parent_at double, has_parent boolean")
     left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))

@@ -123,3 +123,21 @@ def test_orphans_of_empty_tables(spark):
     assert orphans(refs, spark.createDataFrame([("p", "K" + "", 5.0)], RECORDS)).count() == 0
     long = "k" * 100_000
     assert orphans(spark.createDataFrame([("a", "f", "1", "p", long, 1.0)], REFS), spark.createDataFrame([("p", long, 2.0)], RECORDS)).count() == 1
+
+
+def test_orphans_over_many_months_and_long_keys(spark, monkeypatch):
+    """Against the definition; months are accumulated, keys may be very long, ranges many."""
+    from brindle.operators import orphans
+
+    rng = random.Random(21)
+    monkeypatch.setattr(orphans, "RANGE_BYTES", 2000)
+    keys = [f"k{i}" for i in range(120)] + ["long" * 3000]
+    day = 86400.0
+    records = [("t", rng.choice(keys), rng.choice([None, *(rng.randrange(900) * day for _ in range(9))])) for _ in range(150)]
+    refs = [("a", "f", f"r{i}", "t", rng.choice([*keys, " ", None]), rng.choice([None, *(rng.randrange(900) * day for _ in range(9))])) for i in range(600)]
+    got = {r.record_id for r in orphans.orphans(spark.createDataFrame(refs, "ref_table string, ref_field string, record_id string, target string, key string, at double"), spark.createDataFrame(records, "target string, key string, at double")).collect()}
+    first = {}
+    for _, k, at in records:
+        first[k] = min(first.get(k, float("inf")), float("-inf") if at is None else at)
+    expected = {r for _, _, r, _, k, at in refs if k and k.strip() and (k not in first or (at is not None and first[k] > at))}
+    assert got == expected and len(expected) > 100
