@@ -3,12 +3,14 @@
 Each value is reduced to a mask of character classes (digits, month names, weekday names, zone letters and so on).
 Every distinct mask is compiled to a parser once; as all values of one mask have the same width, a parser reads its
 fields as columns of a two-dimensional character array. Wall-clock times without zone are converted through a table of
-the zone's transitions, which is built once per zone and carries the version of the zone data.
+the zone's transitions, which is built once per zone and version of the zone data. The version that the driver has is part
+of the column: a worker with another one fails instead of giving other instants.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from datetime import datetime, timezone
 from functools import lru_cache
 from pathlib import Path
@@ -32,7 +34,11 @@ ABBREVIATIONS = {
 
 MISSING = np.iinfo(np.int64).min
 _DAY = 86_400
-_FIRST, _LAST = 0, 4_102_444_800  # 1970-01-01 to 2100-01-01: span of the transition tables
+_FIRST, _LAST = -2_208_988_800, 4_102_444_800  # 1900-01-01 to 2100-01-01: span of the transition tables
+_COMMENT = re.compile(r" ?\([^()]*\)$")
+_DASHES = re.compile("[\u2010-\u2015\u2212]")
+#: Characters from which on a mask is compiled without being kept.
+LONG = 100
 _SPACES = re.compile(r"\s+")
 _WORDS = re.compile(r"[A-Za-z]+")
 _DIGITS = str.maketrans("0123456789", "9" * 10)
@@ -41,14 +47,16 @@ _MONTH_OF = {w[:3]: i + 1 for i, w in enumerate(MONTHS)}
 
 
 @lru_cache(maxsize=256)
-def _zone_table(zone: str) -> tuple[np.ndarray, np.ndarray, str] | None:
-    """(wall-clock second at which each new offset starts to count, offsets, version of the zone data) of an IANA zone.
+def _zone_table(zone: str, version: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """(wall-clock second at which each new offset starts to count, offsets) of an IANA zone in a version of the zone data.
 
     The offset before a change holds until the later of the two readings of the change: so a repeated hour gets its
     earlier instant, and a skipped time the offset before the change.
     """
     from zoneinfo import ZoneInfo
 
+    if version != zone_data_version():
+        raise RuntimeError(f"zone data {zone_data_version()} here, {version} asked for")
     try:
         info = ZoneInfo(zone)
     except Exception:
@@ -69,7 +77,7 @@ def _zone_table(zone: str) -> tuple[np.ndarray, np.ndarray, str] | None:
             lo, hi = (mid, hi) if offset(mid) == a else (lo, mid)
         at.append(hi + max(a, b))
         offsets.append(b)
-    return np.array(at, np.int64), np.array(offsets, np.int64), zone_data_version()
+    return np.array(at, np.int64), np.array(offsets, np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -90,12 +98,13 @@ def zone_data_version() -> str:
         return "unknown"
 
 
-def wall_to_utc(seconds: np.ndarray, zone: str) -> np.ndarray:
-    """Wall-clock seconds of a zone to UTC seconds; ``MISSING`` if there is no such zone."""
-    found = _zone_table(zone)
+def wall_to_utc(seconds: np.ndarray, zone: str, version: str | None = None) -> np.ndarray:
+    """Wall-clock seconds of a zone to UTC seconds; ``MISSING`` if there is no such zone. Times before 1900 take the offset
+    of that year, times after 2099 that of its end. Another ``version`` of the zone data than the present one is an error."""
+    found = _zone_table(zone, version or zone_data_version())
     if found is None:
         return np.full(len(seconds), MISSING)
-    starts, offsets, _ = found
+    starts, offsets = found
     return seconds - offsets[np.searchsorted(starts, seconds, side="right")]
 
 
@@ -169,7 +178,7 @@ def _days(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.n
     return first + d - 1, ok
 
 
-def _moments(values: list[str], fields: dict[str, tuple[int, int]], zones: np.ndarray, orders: np.ndarray) -> np.ndarray:
+def _moments(values: list[str], fields: dict[str, tuple[int, int]], zones: np.ndarray, orders: np.ndarray, version: str | None) -> np.ndarray:
     """Values of one mask to microseconds."""
     width = len(values[0])
     chars = np.array(values, dtype=f"U{width}").view(np.uint32).reshape(len(values), width)
@@ -231,42 +240,53 @@ def _moments(values: list[str], fields: dict[str, tuple[int, int]], zones: np.nd
         for zone in set(zones[ok]):
             if zone:
                 own = zones == zone
-                utc[own] = wall_to_utc(wall[own], zone)
+                utc[own] = wall_to_utc(wall[own], zone, version)
         ok &= utc != MISSING
     return np.where(ok, utc * 1_000_000 + micro, MISSING)
 
 
-def to_utc_us(values: list[str | None], zones: list[str | None], orders: list[str | None]) -> np.ndarray:
+def plain(value: str) -> str:
+    """A value without outer and repeated white space and a closing comment in brackets. Spaces, dashes and
+    characters of other widths become those of ASCII, invisible ones go; digits of other scripts are left."""
+    if not value.isascii():
+        value = _DASHES.sub("-", unicodedata.normalize("NFKC", value))
+        value = "".join(c for c in value if unicodedata.category(c) != "Cf")
+    return _COMMENT.sub("", _SPACES.sub(" ", value).strip())
+
+
+def to_utc_us(values: list[str | None], zones: list[str | None], orders: list[str | None], version: str | None = None) -> np.ndarray:
     """Microseconds since 1970 UTC of each value, ``MISSING`` where it denotes no instant.
 
     Null, empty and blank values, words such as "pending", dates without time, times that don't exist, unknown zone
-    names and zero counts give ``MISSING``; so do values without zone where the row's zone is null or unknown.
+    names and zero counts give ``MISSING``; so do values without zone where the row's zone is null or unknown. Values may be
+    of any length; see ``plain``. ``version``: that of the zone data, if a certain one is asked for.
     """
     out = np.full(len(values), MISSING)
     groups: dict[str, list[int]] = {}
     clean: list[str] = []
     for i, v in enumerate(values):
-        v = _SPACES.sub(" ", v).strip() if v else ""
+        v = plain(v) if v else ""
         clean.append(v)
-        if v and v.isascii() and len(v) <= 100:
+        if v:
             groups.setdefault(shape(v), []).append(i)
     zone_of, order_of = np.array([z or "" for z in zones], object), np.array([(o or "").lower() for o in orders], object)
     for mask, rows in groups.items():
-        parser = _parser(mask)
+        parser = _parser(mask) if len(mask) <= LONG else _parser.__wrapped__(mask)
         if parser is None:
             continue
         own = [clean[i] for i in rows]
-        out[rows] = _epoch(own) if parser == "number" else _moments(own, parser, zone_of[rows], order_of[rows])
+        out[rows] = _epoch(own) if parser == "number" else _moments(own, parser, zone_of[rows], order_of[rows], version)
     return out
 
 
-@F.pandas_udf(T.LongType())
-def _utc_us(value: pd.Series, zone: pd.Series, order: pd.Series) -> pd.Series:
-    text = lambda s: [x if isinstance(x, str) else None for x in s]
-    us = to_utc_us(text(value), text(zone), text(order))
-    return pd.Series(us, dtype="Int64").mask(us == MISSING)
+def utc_us(value: Column | str, zone: Column | str, date_order: Column | str) -> Column:
+    """Column form of ``to_utc_us``, with the version of the driver's zone data; null where a value denotes no instant."""
+    version = zone_data_version()
 
+    @F.pandas_udf(T.LongType())
+    def run(value: pd.Series, zone: pd.Series, order: pd.Series) -> pd.Series:
+        text = lambda s: [x if isinstance(x, str) else None for x in s]
+        us = to_utc_us(text(value), text(zone), text(order), version)
+        return pd.Series(us, dtype="Int64").mask(us == MISSING)
 
-def utc_us(value: Column | str, zone: Column | str, date_order: Column | str) -> Column:
-    """Column form of ``to_utc_us``; null where a value denotes no instant."""
-    return _utc_us(value, zone, date_order)
+    return run(value, zone, date_order)

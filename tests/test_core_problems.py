@@ -141,3 +141,27 @@ def test_orphans_over_many_months_and_long_keys(spark, monkeypatch):
         first[k] = min(first.get(k, float("inf")), float("-inf") if at is None else at)
     expected = {r for _, _, r, _, k, at in refs if k and k.strip() and (k not in first or (at is not None and first[k] > at))}
     assert got == expected and len(expected) > 100
+
+
+@pytest.mark.parametrize(
+    "value",
+    ["2026\u201103\u201101 10:00", "2026\u201303\u201301\u00a010:00", "\uff12\uff10\uff12\uff16-03-01 10:00", "\u200e2026-03-01 10:00", "2026-03-01 10:00 (Mitteleurop\u00e4ische Zeit)", "2026-03-01 10:00 (" + "very long comment " * 50 + ")", "1772355600" + "." + "0" * 500],
+)
+def test_values_of_other_scripts_and_lengths(value):
+    assert to_utc_us([value], ["Europe/Berlin"], ["dmy"])[0] == 1_772_355_600_000_000
+
+
+def test_no_instant_in_long_texts():
+    assert (to_utc_us(["x" * 100_000, "9" * 100_000, "2026-03-01 10:00 " + "y" * 200, "\u00e9t\u00e9", "(only a comment)"], ["UTC"] * 5, ["dmy"] * 5) == MISSING).all()
+
+
+def test_zone_tables_have_a_version_and_reach_back(spark):
+    from brindle.functions.timestamps import utc_us, zone_data_version
+
+    at = datetime(1943, 7, 1, 12, tzinfo=ZoneInfo("America/New_York"))
+    assert wall_to_utc(np.array([int(datetime(1943, 7, 1, 12, tzinfo=timezone.utc).timestamp())]), "America/New_York")[0] == int(at.timestamp())
+    assert wall_to_utc(np.array([0]), "Europe/Berlin", zone_data_version())[0] == -3600
+    with pytest.raises(RuntimeError, match="zone data"):
+        wall_to_utc(np.array([0]), "Europe/Berlin", "1999z")
+    rows = spark.createDataFrame([("2026-03-01 10:00", "Europe/Berlin", "dmy"), (None, None, None)], "v string, z string, o string")
+    assert [r.us for r in rows.select(utc_us("v", "z", "o").alias("us")).collect()] == [1_772_355_600_000_000, None]
