@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Folder of the vocabulary files; a parameter of ``encode`` too.
-VOCABULARIES = os.environ.get("BRINDLE_TOKENIZERS", "/opt/tokenizers")
+#: Folder of the vocabulary files on the driver; a parameter of ``encode``. Workers get the file with the job.
+VOCABULARIES = "/opt/tokenizers"
 #: Fixed value: the split pattern that belongs to the byte-level vocabularies.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker keeps before it starts anew; bounds its memory.
@@ -30,10 +30,32 @@ _MEETING = ["\0", *(x for c in " \t\n\r\v\f\x1c\x1d\x1e\x1f" for x in (c + " ",
 SLICE = 8_000_000
 
 
-def load_ranks(path: str) -> dict[bytes, int]:
+def read_ranks(content: bytes) -> dict[bytes, int]:
     """Ranks of a vocabulary file with one base64 token and its rank a line."""
+    return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in content.splitlines() if line.strip())}
+
+
+def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+        return read_ranks(f.read())
+
+
+class Growing:
+    """An array that grows at its end; its room doubles, so that adding costs in proportion to what is added."""
+
+    def __init__(self, kind):
+        self.room, self.size = np.empty(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        need = self.size + len(values)
+        if need > len(self.room):
+            self.room = np.concatenate([self.room[: self.size], np.empty(2 * need - self.size, self.room.dtype)])
+        self.room[self.size : need] = values
+        self.size = need
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[: self.size]
 
 
 class PairIndex:
@@ -123,17 +145,16 @@ class PairIndex:
 class CorpusEncoder:
     """Texts to ids; keeps what it has encoded."""
 
-    def __init__(self, path: str):
+    def __init__(self, ranks: dict[bytes, int]):
         import regex
 
-        self.index = PairIndex(load_ranks(path))
+        self.index = PairIndex(ranks)
         self.split = regex.compile(SPLIT).findall
         self.forget()
 
     def forget(self) -> None:
         self.codes: dict[str, int] = {}
-        self.ids = [np.empty(0, np.int32)]
-        self.sizes = [np.empty(0, np.int64)]
+        self.ids, self.starts, self.sizes = Growing(np.int32), Growing(np.int64), Growing(np.int64)
 
     def learn(self, pieces: list[str]) -> None:
         """Encode pieces that are new."""
@@ -147,10 +168,11 @@ class CorpusEncoder:
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
         which = np.fromiter((distinct[w] for w in words), np.int64, len(words))
         sizes = (ends - starts)[which] if len(which) else np.empty(0, np.int64)
-        self.ids.append(flat[ragged(starts[which], sizes)] if len(which) else flat)
         totals = np.concatenate([[0], np.cumsum(sizes)])
         word_ends = np.cumsum(n_words)
-        self.sizes.append(totals[word_ends] - totals[word_ends - n_words])
+        self.starts.add(self.ids.size + totals[word_ends - n_words])
+        self.sizes.add(totals[word_ends] - totals[word_ends - n_words])
+        self.ids.add(flat[ragged(starts[which], sizes)] if len(which) else flat)
         for piece in pieces:
             self.codes[piece] = len(self.codes)
 
@@ -163,22 +185,18 @@ class CorpusEncoder:
         new = [p for p in dict.fromkeys(flat) if p not in self.codes]
         if new:
             self.learn(new)
-            self.ids = [np.concatenate(self.ids)]
-            self.sizes = [np.concatenate(self.sizes)]
-        sizes = self.sizes[0]
-        starts = np.cumsum(sizes) - sizes
         codes = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
-        own = sizes[codes]
+        own = self.sizes.values[codes]
         n_pieces = np.fromiter(map(len, rows), np.int64, len(rows))
         totals = np.concatenate([[0], np.cumsum(own)])
         ends = np.cumsum(n_pieces)
-        return self.ids[0][ragged(starts[codes], own)], totals[ends] - totals[ends - n_pieces]
+        return self.ids.values[ragged(self.starts.values[codes], own)], totals[ends] - totals[ends - n_pieces]
 
 
 @lru_cache(maxsize=2)
-def corpus_encoder(path: str) -> CorpusEncoder:
+def corpus_encoder(content: bytes) -> CorpusEncoder:
     """The encoder of a worker, kept from task to task."""
-    return CorpusEncoder(path)
+    return CorpusEncoder(read_ranks(content))
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -216,10 +234,12 @@ def encode(documents: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str =
     rows give repeated results, a null doc_id stays null, extra columns are dropped. Texts are whole, whatever their
     length. No shuffle takes place; memory is bounded by ``SLICE`` and ``CACHED``.
     """
-    path = os.path.join(folder, f"{vocabulary}.tiktoken")
+    with open(os.path.join(folder, f"{vocabulary}.tiktoken"), "rb") as f:
+        # A vocabulary file is about one megabyte, whatever the corpus.
+        content = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        encoder = corpus_encoder(path)
+        encoder = corpus_encoder(content.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             start = 0

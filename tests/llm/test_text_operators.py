@@ -106,7 +106,7 @@ def test_encoding_against_libraries(spark):
 def test_encoding_slices(spark, monkeypatch):
     rows = spark.createDataFrame([(i, f"word{i} " * 50) for i in range(20)], "doc_id long, text string")
     whole = encoding.encode(rows).collect()
-    encoder = encoding.CorpusEncoder(encoding.VOCABULARIES + "/byte_bpe_50k.tiktoken")
+    encoder = encoding.CorpusEncoder(encoding.load_ranks(encoding.VOCABULARIES + "/byte_bpe_50k.tiktoken"))
     for r, t in zip(whole, rows.collect(), strict=True):
         assert encoder.encode([t.text])[0].tolist() == r.ids
 
