@@ -7,8 +7,8 @@ possible, and all of them are exact, so no pair at or above the threshold is los
 * length: a text of n n-grams can only match texts of at least ``threshold * n``;
 * position: n-grams of a text are in one global order, rare ones first. A shared n-gram at places i and j leaves room for
   at most ``1 + min(n - i - 1, m - j - 1)`` common ones. So only the rare head of each text enters the product at all;
-* parity sketch: texts differ in at least as many n-grams as the bits in which the parities of their hash bins differ. It
-  is made for the texts of the pairs that the product leaves only.
+* parity sketch: texts differ in at least as many n-grams as the bits in which the parities of their hash bins differ. A
+  short one goes with the postings, a long one is made for the texts of the pairs that the product leaves.
 
 What survives is held against the whole n-gram sets. The number of blocks follows from the bytes of the matrix, and a
 column that very many texts share is cut into strips of texts, each pair of which is a column of its own.
@@ -29,10 +29,10 @@ from brindle.session import blocks_of_bytes, bounded_broadcast, checkpointed, sp
 
 #: Bins of the corpus-wide n-gram counts that give the order; a fixed number, whatever the corpus.
 COUNT_BITS = 20
-#: Bits of the parity sketch.
-SKETCH = 512
+#: Bits of the parity sketches: of all texts, and of those in candidate pairs.
+SHORT_SKETCH, SKETCH = 256, 512
 #: Bytes of the matrix that a block is meant to hold, and texts of a column's strip.
-BLOCK_BYTES, STRIP = 8 << 20, 20_000
+BLOCK_BYTES, STRIP = 12 << 20, 20_000
 #: Pairs that a block's task holds at once.
 PAIRS_AT_ONCE = 4_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -69,6 +69,10 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
+def _sketch(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1)
+
+
 def _bin_counts(texts: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """(corpus-wide counts of n-grams per hash bin, on a logarithmic scale of one byte: 2**COUNT_BITS bytes at any scale;
     number of all n-grams)."""
@@ -116,7 +120,7 @@ def _strips(hashes: np.ndarray, places: np.ndarray, docs: np.ndarray, keys: np.n
 
 def _emit(keys, texts, scale, size: int, threshold: float, n_blocks: int, seen: set):
     """Posting blobs of one batch of texts, by block."""
-    own_keys, sizes, docs, hashes, places = [], [], [], [], []
+    own_keys, sizes, sketches, docs, hashes, places = [], [], [], [], [], []
     for key, text in zip(keys, texts, strict=True):
         if key in seen:
             continue
@@ -127,6 +131,7 @@ def _emit(keys, texts, scale, size: int, threshold: float, n_blocks: int, seen:
             continue
         head = n - math.ceil(threshold * n - 1e-9) + 1
         order = np.argsort(scale[(h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], kind="stable")[:head]
+        sketches.append(_sketch(h, SHORT_SKETCH))
         docs.append(np.full(len(order), len(own_keys), np.int32))
         hashes.append(h[order])
         places.append(np.arange(len(order), dtype=np.int32))
@@ -134,7 +139,7 @@ def _emit(keys, texts, scale, size: int, threshold: float, n_blocks: int, seen:
         sizes.append(n)
     if not own_keys:
         return
-    own_keys, sizes = np.array(own_keys, np.int64), np.array(sizes, np.int32)
+    own_keys, sizes, sketches = np.array(own_keys, np.int64), np.array(sizes, np.int32), np.stack(sketches)
     hashes, places, docs, sides = _strips(np.concatenate(hashes), np.concatenate(places), np.concatenate(docs), own_keys, scale)
     block = ((hashes >> np.uint64(32)) % np.uint64(n_blocks)).astype(np.int32)
     by = np.lexsort((docs, block))
@@ -144,7 +149,7 @@ def _emit(keys, texts, scale, size: int, threshold: float, n_blocks: int, seen:
     for a, b in zip([0, *cuts], [*cuts, len(block)], strict=True):
         present, counts = np.unique(docs[a:b], return_counts=True)
         head = np.array([len(present), b - a], "<i8").tobytes()
-        blobs.append(head + own_keys[present].tobytes() + sizes[present].tobytes() + counts.astype("<i4").tobytes() + hashes[a:b].tobytes() + places[a:b].tobytes() + sides[a:b].tobytes())
+        blobs.append(head + own_keys[present].tobytes() + sizes[present].tobytes() + counts.astype("<i4").tobytes() + sketches[present].tobytes() + hashes[a:b].tobytes() + places[a:b].tobytes() + sides[a:b].tobytes())
         out_blocks.append(int(block[a]))
     yield pa.RecordBatch.from_arrays([pa.array(out_blocks, pa.int32()), pa.array(blobs, pa.binary())], ["block", "blob"])
 
@@ -153,7 +158,7 @@ def _read_blob(blob: bytes):
     d, p = np.frombuffer(blob, "<i8", 2)
     at = 16
     out = []
-    for kind, n in (("<i8", d), ("<i4", d), ("<i4", d), ("<u4", p), ("<i4", p), ("i1", p)):
+    for kind, n in (("<i8", d), ("<i4", d), ("<i4", d), ("u1", d * SHORT_SKETCH // 8), ("<u4", p), ("<i4", p), ("i1", p)):
         a = np.frombuffer(blob, kind, int(n), at)
         at += a.nbytes
         out.append(a)
@@ -168,12 +173,13 @@ def _product(batches, threshold: float):
             found.setdefault(block, []).append(_read_blob(blob))
     for block in list(found):
         parts = found.pop(block)
-        keys, sizes, counts, tokens, places, sides = (np.concatenate([p[k] for p in parts]) for k in range(6))
+        keys, sizes, counts, sketches, tokens, places, sides = (np.concatenate([p[k] for p in parts]) for k in range(7))
         del parts
         # The same text may come from several tasks; one of its entries is enough.
         _, first = np.unique(keys, return_index=True)
         single = np.zeros(len(keys), bool)
         single[first] = True
+        sketches = sketches.reshape(-1, SHORT_SKETCH // 8).view(np.uint64)
         docs = np.repeat(np.arange(len(keys)), counts)
         own = single[docs]
         docs, tokens, places, sides = docs[own], tokens[own], places[own], sides[own]
@@ -211,6 +217,9 @@ def _product(batches, threshold: float):
                 room = 1 + np.minimum(n[right] - places[right] - 1, n[left] - places[left] - 1)
                 need = np.ceil(threshold / (1 + threshold) * (n[right] + n[left]) - 1e-9)
                 ok = (room >= need) & ((sides[right] == 0) | (sides[right] != sides[left]))
+                right, left, need = right[ok], left[ok], need[ok]
+                differ = np.bitwise_count(sketches[docs[right]] ^ sketches[docs[left]]).sum(axis=1, dtype=np.int64)
+                ok = differ <= n[right] + n[left] - 2 * need
                 pairs = np.stack([keys[docs[right[ok]]], keys[docs[left[ok]]]])
                 if pairs.size:
                     pairs = np.unique(np.sort(pairs, axis=0), axis=1)
@@ -226,7 +235,7 @@ def similar_texts(texts: DataFrame, size: int = 5, threshold: float = 0.8) -> Da
     spark = texts.sparkSession
     named = texts.select(F.xxhash64("text").alias("key"), "text").where(F.col("text").isNotNull())
     counts, n_grams = _bin_counts(named, size)
-    # Each n-gram of a head is a posting of 9 bytes, with at most 16 of its text.
+    # Each n-gram of a head is a posting of 9 bytes, and has some of the 48 of its text's entry in the block.
     n_blocks = blocks_of_bytes(spark, 25 * (1 - threshold) * n_grams, BLOCK_BYTES)
     scale = spark.sparkContext.broadcast(counts)
 
@@ -244,7 +253,7 @@ def similar_texts(texts: DataFrame, size: int = 5, threshold: float = 0.8) -> Da
             for text in batch.column(1).to_pylist():
                 h = np.unique(shingle_hashes(text, size))
                 sizes.append(len(h))
-                bits.append(np.packbits(np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).tobytes())
+                bits.append(_sketch(h, SKETCH).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], ["key", "n", "bits"])
 
     def like(batches):
