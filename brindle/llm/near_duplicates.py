@@ -7,8 +7,7 @@ possible, and all of them are exact, so no pair at or above the threshold is los
 * length: a text of n n-grams can only match texts of at least ``threshold * n``;
 * position: n-grams of a text are in one global order, rare ones first. A shared n-gram at places i and j leaves room for
   at most ``1 + min(n - i - 1, m - j - 1)`` common ones. So only the rare head of each text enters the product at all;
-* parity sketch: texts differ in at least as many n-grams as the bits in which the parities of their hash bins differ. A
-  short one goes with the postings, a long one is made for the texts of the pairs that the product leaves.
+* parity sketch: texts differ in at least as many n-grams as the bits in which the parities of their hash bins differ.
 
 What survives is held against the whole n-gram sets. The number of blocks follows from the bytes of the matrix, and a
 column that very many texts share is cut into strips of texts, each pair of which is a column of its own.
@@ -29,8 +28,8 @@ from brindle.session import blocks_of_bytes, bounded_broadcast, checkpointed, sp
 
 #: Bins of the corpus-wide n-gram counts that give the order; a fixed number, whatever the corpus.
 COUNT_BITS = 20
-#: Bits of the parity sketches: of all texts, and of those in candidate pairs.
-SHORT_SKETCH, SKETCH = 256, 512
+#: Bits of the parity sketch.
+SKETCH = 512
 #: Bytes of the matrix that a block is meant to hold, and texts of a column's strip.
 BLOCK_BYTES, STRIP = 12 << 20, 20_000
 #: Pairs that a block's task holds at once.
@@ -69,8 +68,8 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
-def _sketch(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1)
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    return np.packbits(np.bincount((hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1)
 
 
 def _bin_counts(texts: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -131,7 +130,7 @@ def _emit(keys, texts, scale, size: int, threshold: float, n_blocks: int, seen:
             continue
         head = n - math.ceil(threshold * n - 1e-9) + 1
         order = np.argsort(scale[(h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], kind="stable")[:head]
-        sketches.append(_sketch(h, SHORT_SKETCH))
+        sketches.append(_sketch(h))
         docs.append(np.full(len(order), len(own_keys), np.int32))
         hashes.append(h[order])
         places.append(np.arange(len(order), dtype=np.int32))
@@ -158,7 +157,7 @@ def _read_blob(blob: bytes):
     d, p = np.frombuffer(blob, "<i8", 2)
     at = 16
     out = []
-    for kind, n in (("<i8", d), ("<i4", d), ("<i4", d), ("u1", d * SHORT_SKETCH // 8), ("<u4", p), ("<i4", p), ("i1", p)):
+    for kind, n in (("<i8", d), ("<i4", d), ("<i4", d), ("u1", d * SKETCH // 8), ("<u4", p), ("<i4", p), ("i1", p)):
         a = np.frombuffer(blob, kind, int(n), at)
         at += a.nbytes
         out.append(a)
@@ -179,7 +178,7 @@ def _product(batches, threshold: float):
         _, first = np.unique(keys, return_index=True)
         single = np.zeros(len(keys), bool)
         single[first] = True
-        sketches = sketches.reshape(-1, SHORT_SKETCH // 8).view(np.uint64)
+        sketches = sketches.reshape(-1, SKETCH // 8).view(np.uint64)
         docs = np.repeat(np.arange(len(keys)), counts)
         own = single[docs]
         docs, tokens, places, sides = docs[own], tokens[own], places[own], sides[own]
@@ -235,7 +234,7 @@ def similar_texts(texts: DataFrame, size: int = 5, threshold: float = 0.8) -> Da
     spark = texts.sparkSession
     named = texts.select(F.xxhash64("text").alias("key"), "text").where(F.col("text").isNotNull())
     counts, n_grams = _bin_counts(named, size)
-    # Each n-gram of a head is a posting of 9 bytes, and has some of the 48 of its text's entry in the block.
+    # Each n-gram of a head is a posting of 9 bytes, and has some of the 80 of its text's entry in the block.
     n_blocks = blocks_of_bytes(spark, 25 * (1 - threshold) * n_grams, BLOCK_BYTES)
     scale = spark.sparkContext.broadcast(counts)
 
@@ -247,37 +246,12 @@ def similar_texts(texts: DataFrame, size: int = 5, threshold: float = 0.8) -> Da
     spread = named.mapInArrow(postings, "block int, blob binary").repartition(n_blocks, "block")
     pairs = checkpointed(spread.mapInArrow(lambda b: _product(b, threshold), "key_a long, key_b long").distinct())
 
-    def sketch(batches):
-        for batch in batches:
-            sizes, bits = [], []
-            for text in batch.column(1).to_pylist():
-                h = np.unique(shingle_hashes(text, size))
-                sizes.append(len(h))
-                bits.append(_sketch(h, SKETCH).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], ["key", "n", "bits"])
-
-    def like(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n, m = (batch.column(k).to_numpy() for k in (2, 4))
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(n), -1) for k in (3, 5))
-            differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-            need = np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["key_a", "key_b"]).filter(pa.array(differ <= n + m - 2 * need))
-
-    def sides(rows: DataFrame, table: DataFrame, names: list[str]) -> DataFrame:
-        for side in "ab":
-            rows = spread_join(rows, table.toDF("key_" + side, *[f"{c}_{side}" for c in names]), "key_" + side)
-        return rows.select("key_a", "key_b", *[f"{c}_{side}" for side in "ab" for c in names])
-
-    def of_pairs(rows: DataFrame) -> DataFrame:
-        involved = rows.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
-        return named.join(bounded_broadcast(involved), "key", "left_semi").distinct()
-
-    sketches = checkpointed(of_pairs(pairs).mapInArrow(sketch, "key long, n int, bits binary"))
-    near = checkpointed(sides(pairs, sketches.dropDuplicates(["key"]), ["n", "bits"]).mapInArrow(like, "key_a long, key_b long"))
-    both = sides(near, of_pairs(near), ["text"])
+    involved = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
+    own = named.join(bounded_broadcast(involved), "key", "left_semi").distinct()
+    both = pairs
+    for side in "ab":
+        both = spread_join(both, own.toDF("key_" + side, "text_" + side), "key_" + side)
+    both = both.select("key_a", "key_b", "text_a", "text_b")
 
     def verify(batches):
         for batch in batches:
