@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.timestamps import utc_us
+from brindle.operators.instants import with_clock
 from brindle.functions.text import ARCHIVE_SUBJECTS, HIGH_SIGNAL_TAGS, URGENT_PHRASES, any_of, bigrams, fingerprint, jaccard, template
 
 DAY = 86_400
@@ -25,8 +27,9 @@ class TriageConfig:
 def triage(messages: DataFrame, now: float, config: TriageConfig = TriageConfig()) -> DataFrame:
     """Messages with ``score`` (0 to 100) and ``category``.
 
-    received_at is read as epoch seconds; null, 0 and other values count as now. The category follows the score before it
-    is bounded; a high-signal sender with a question gets at least respond_today. Null columns count as empty.
+    A column ``at`` gives the epoch seconds of each message (``timed`` makes it of mixed spellings); without it received_at
+    is read as such. Null, 0 and other values count as now. The category follows the score before it is bounded; a
+    high-signal sender with a question gets at least respond_today. Null columns count as empty.
     """
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     sender = F.lower(F.coalesce(F.nullif("from_id", F.lit("")), F.col("from"), F.lit("")))
@@ -34,7 +37,7 @@ def triage(messages: DataFrame, now: float, config: TriageConfig = TriageConfig(
     high, low_sender = contains(config.high_senders), contains(config.low_senders)
     tags = F.transform(F.coalesce("labels", F.array().cast("array<string>")), lambda x: F.lower(F.coalesce(x, F.lit(""))))
     question = F.contains(low("snippet"), F.lit("?"))
-    at = F.coalesce(F.nullif(F.col("received_at").try_cast("double"), F.lit(0.0)), F.lit(now))
+    at = F.coalesce(F.nullif(F.col("at" if "at" in messages.columns else "received_at").try_cast("double"), F.lit(0.0)), F.lit(now))
     hours = F.greatest(F.lit(0.0), (F.lit(now) - at) / 3600)
     points = lambda condition, n: F.when(condition, n).otherwise(0)
     raw = (
@@ -54,6 +57,21 @@ def triage(messages: DataFrame, now: float, config: TriageConfig = TriageConfig(
     return scored.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), F.col("_raw")))).withColumn("category", category).drop("_raw", "_bump")
 
 
+def timed(messages: DataFrame, clock: DataFrame) -> DataFrame:
+    """Messages with ``at``: epoch seconds of received_at in any spelling, by the clock of the channel; null if it is none."""
+    return with_clock(messages, clock).withColumn("at", utc_us("received_at", "_zone", "_order") / 1e6).drop("_zone", "_order")
+
+
+def ranked(scored: DataFrame, order: str = "ordinal") -> DataFrame:
+    """Scored messages by score, the best first; equal ones in the order of a column that keeps their arrival."""
+    return scored.orderBy(F.desc("score"), order)
+
+
+def preflight(scored: DataFrame, today: int = 3) -> DataFrame:
+    """What a sweep drafts: all respond_now messages and the best few of respond_today, a top-k report."""
+    return scored.where("category = 'respond_now'").unionByName(top_per_category(scored.where("category = 'respond_today'"), today).drop("place"))
+
+
 def follow_ups(sent: DataFrame, now: float, least: float = 5, most: float = 21, cooldown: float = 7) -> DataFrame:
     """Sent items with ``reason`` (null: stale, to be followed up), ``age_days`` and ``score`` (null unless stale).
 
@@ -74,18 +92,55 @@ def follow_ups(sent: DataFrame, now: float, least: float = 5, most: float = 21,
     return out.withColumn("score", F.when(F.col("reason").isNull(), F.least(F.lit(100.0), F.lit(40) + (F.col("age_days") - least) * 6).cast("int")))
 
 
-def conflicts(windows: DataFrame, events: DataFrame, bucket: int = 3600) -> DataFrame:
+def follow_up_report(sent: DataFrame, now: float, top: int = 25, order: str = "ordinal", **rules) -> tuple[DataFrame, DataFrame]:
+    """(report, counts): the stale items with the highest (score, age to a tenth of a day), ties in their order of arrival, a
+    top-k report; and one row (n_stale, n_skipped) over all items."""
+    judged = follow_ups(sent, now, **rules)
+    stale = judged.where("reason is null").withColumn("age_days", F.round("age_days", 1)).drop("reason")
+    counts = judged.agg(F.count_if(F.col("reason").isNull()).alias("n_stale"), F.count_if(F.col("reason").isNotNull()).alias("n_skipped"))
+    return stale.orderBy(F.desc("score"), F.desc("age_days"), order).limit(top), counts
+
+
+#: Levels of buckets that intervals are dealt into; each is four times as wide as the one before.
+LEVELS = 20
+
+
+def conflicts(windows: DataFrame, events: DataFrame, bucket: int = 3600, ignore: DataFrame | None = None) -> DataFrame:
     """(window_id, event_id): events that overlap a window, half-open; a window or event that ends before it starts, or
-    without times, conflicts with nothing, an event of no length only strictly inside.
+    without times, conflicts with nothing, an event of no length only strictly inside. Pairs of ``ignore`` (window_id,
+    event_id) are left out, such as the event that a window is about.
 
-    windows: (window_id, start, end), events: (event_id, start, end) in seconds. Both are dealt into time buckets, so the
-    join is by equality; a pair is reported in the bucket of its later start only.
+    windows: (window_id, start, end), events: (event_id, start, end) in seconds. An interval lies in the level of buckets
+    that are as wide as itself, so in two buckets at most however long it is, and is looked up from the levels of longer
+    ones. The join is by equality; a pair is reported in the bucket of its later start only.
     """
-    spread = lambda df, a, b: df.where((F.col(a) <= F.col(b))).withColumn("bucket", F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.col(b) / bucket))))
-    w = spread(windows.select("window_id", F.col("start").alias("ws"), F.col("end").alias("we")).where("ws < we"), "ws", "we")
-    e = spread(events.select("event_id", F.col("start").alias("es"), F.col("end").alias("ee")), "es", "ee")
-    both = w.join(e, "bucket").where((F.col("es") < F.col("we")) & (F.col("ee") > F.col("ws")) & (F.col("bucket") == F.floor(F.greatest("ws", "es") / bucket)))
-    return both.select("window_id", "event_id")
+    def levelled(df: DataFrame, name: str, kept: Column) -> DataFrame:
+        own = df.select(name, F.col("start").alias(name + "_s"), F.col("end").alias(name + "_e")).where(kept)
+        length = F.greatest(F.col(name + "_e") - F.col(name + "_s"), F.lit(1.0)) / bucket
+        return own.withColumn("own", F.least(F.greatest(F.ceil(F.log(length) / F.log(F.lit(4.0))), F.lit(0)), F.lit(LEVELS)).cast("int"))
+
+    def spread(df: DataFrame, name: str, levels: Column) -> DataFrame:
+        at = lambda c: F.floor(F.col(name + c) / (bucket * F.pow(F.lit(4.0), F.col("level"))))
+        return df.withColumn("level", F.explode(levels)).withColumn("bucket", F.explode(F.sequence(at("_s"), at("_e"))))
+
+    w = levelled(windows, "window_id", F.col("start") < F.col("end"))
+    e = levelled(events, "event_id", F.col("start") <= F.col("end"))
+    tops = {name: df.agg(F.max("own")).first()[0] for name, df in (("w", w), ("e", e))}
+    above = lambda least, top: F.sequence(F.col("own") + least, F.lit(top)) if top is not None else F.array().cast("array<int>")
+    higher = lambda least, top: F.when(F.col("own") + least <= F.lit(-1 if top is None else top), above(least, top))
+    one = spread(w, "window_id", F.array("own")).drop("own").join(spread(e, "event_id", higher(0, tops["w"])).drop("own"), ["level", "bucket"])
+    two = spread(w, "window_id", higher(1, tops["e"])).drop("own").join(spread(e, "event_id", F.array("own")).drop("own"), ["level", "bucket"])
+    size = bucket * F.pow(F.lit(4.0), F.col("level"))
+    overlap = (F.col("event_id_s") < F.col("window_id_e")) & (F.col("event_id_e") > F.col("window_id_s"))
+    first = F.col("bucket") == F.floor(F.greatest("window_id_s", "event_id_s") / size)
+    found = one.unionByName(two).where(overlap & first).select("window_id", "event_id")
+    return found if ignore is None else found.join(ignore.select("window_id", "event_id"), ["window_id", "event_id"], "left_anti")
+
+
+def conflict_counts(windows: DataFrame, found: DataFrame) -> DataFrame:
+    """(window_id, n_conflicts) of all windows; 0 where nothing overlaps."""
+    counted = found.groupBy("window_id").agg(F.count("*").alias("n_conflicts"))
+    return windows.select("window_id").distinct().join(counted, "window_id", "left").select("window_id", F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"))
 
 
 def streaks(outcomes: DataFrame, threshold: int = 3) -> DataFrame:
@@ -123,15 +178,20 @@ def best_patterns(drafts: DataFrame, patterns: DataFrame, least: float = 0.85) -
     """(draft, pattern, similarity): the pattern most like each draft, from ``least`` by shared word pairs.
 
     drafts: (draft), patterns: (pattern), both templates. An equal pattern wins, then the more similar, then the lesser
-    one. Only the first ``(1 - least) * n + 1`` of a template's n pairs (by hash) are joined, which every match shares.
+    one. Only the first ``(1 - least) * n + 1`` of a template's n pairs, rare ones first, are joined, which every match shares.
     Empty templates match each other only.
     """
+    d0, p0 = (df.select(name).distinct().withColumn("pairs", bigrams(F.col(name))) for df, name in ((drafts, "draft"), (patterns, "pattern")))
+    # Rare pairs first, by how many patterns hold them: hot pairs then come last in every template and are hardly joined.
+    held = p0.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+
     def prefixed(df: DataFrame, name: str) -> DataFrame:
-        pairs = df.select(name).distinct().withColumn("pairs", bigrams(F.col(name)))
-        ordered = F.array_sort(F.transform("pairs", lambda p: F.xxhash64(p)))
-        return pairs.withColumn("head", F.slice(ordered, 1, F.greatest(F.lit(0), F.size("pairs") - F.ceil(F.size("pairs") * least - 1e-9).cast("int") + 1)))
+        pairs = df.select(name, F.explode("pairs").alias("pair")).join(held, "pair", "left")
+        ordered = pairs.groupBy(name).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.xxhash64("pair").alias("h")))).alias("o"))
+        kept = F.greatest(F.lit(0), F.size("o") - F.ceil(F.size("o") * least - 1e-9).cast("int") + 1)
+        return df.join(ordered.select(name, F.transform(F.slice("o", F.lit(1), kept), lambda x: x["h"]).alias("head")), name, "left")
 
-    d, p = prefixed(drafts, "draft"), prefixed(patterns, "pattern")
+    d, p = prefixed(d0, "draft"), prefixed(p0, "pattern")
     left = d.select("draft", F.col("pairs").alias("d_pairs"), F.explode("head").alias("h"))
     right = p.select("pattern", F.col("pairs").alias("p_pairs"), F.explode("head").alias("h"))
     near = left.join(right, "h").where((F.size("p_pairs") >= least * F.size("d_pairs") - 1e-9) & (F.size("d_pairs") >= least * F.size("p_pairs") - 1e-9))

@@ -6,10 +6,11 @@ left to ``brindle.sources.warehouse``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.text import content_hash
+from brindle.session import numbered
 
 
 def duplicate_classes(chunks: DataFrame) -> DataFrame:
@@ -86,18 +87,75 @@ def listed(counts: DataFrame, limit: int = 50, kind: str | None = None) -> DataF
     return rows.orderBy(F.desc("last_verified_at"), "source_id").limit(limit)
 
 
-def status(sources: DataFrame, chunks: DataFrame, contradictions: DataFrame) -> DataFrame:
-    """One row of counts."""
-    one = sources.agg(F.count("*").alias("n_sources"))
-    two = chunks.agg(F.count("*").alias("n_chunks"))
-    three = contradictions.agg(F.count_if(F.col("resolution").isNull()).alias("n_open_contradictions"))
-    return one.join(two).join(three)
+def status(sources: DataFrame, chunks: DataFrame, contradictions: DataFrame, gaps: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """One row of counts; those of gaps and vectors only where their tables are given."""
+    counts = sources.agg(F.count("*").alias("n_sources"))
+    counts = counts.join(chunks.agg(F.count("*").alias("n_chunks")))
+    counts = counts.join(contradictions.agg(F.count_if(F.col("resolution").isNull()).alias("n_open_contradictions")))
+    if gaps is not None:
+        counts = counts.join(gaps.agg(F.count_if(~F.col("resolved")).alias("n_open_gaps")))
+    return counts if vectors is None else counts.join(vectors.agg(F.count("*").alias("n_vectors")))
 
 
-def shown(sources: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(source_id, title, n_chunks, n_chars, first_chunk_id): each source with its chunks in order of position."""
-    own = chunks.groupBy("source_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"), F.min(F.struct("position", "chunk_id")).alias("_first"))
-    return sources.join(own, "source_id").select("source_id", "title", "n_chunks", "n_chars", F.col("_first.chunk_id").alias("first_chunk_id"))
+def shown(sources: DataFrame, chunks: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Each source, or those of ``ids`` (source_id), with all its columns and ``chunks``: its chunks (position, chunk_id, text)
+    in order of position, then id, as positions may collide. A source without chunks has an empty list.
+
+    A list holds the chunks of one source; for reports over sources of any size use ``listed_chunks``.
+    """
+    kept = sources if ids is None else sources.join(ids.select("source_id").distinct(), "source_id", "left_semi")
+    own = chunks.join(kept.select("source_id"), "source_id", "left_semi").groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("position", "chunk_id", "text"))).alias("chunks"))
+    return kept.join(own, "source_id", "left").withColumn("chunks", F.coalesce("chunks", F.array().cast("array<struct<position:int,chunk_id:string,text:string>>")))
+
+
+def listed_chunks(sources: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(source_id, title, position, chunk_id, text): the chunks of all sources, a row each."""
+    return chunks.join(sources.select("source_id", "title"), "source_id").select("source_id", "title", "position", "chunk_id", "text")
+
+
+def fetched(chunks: DataFrame, sources: DataFrame, ids: DataFrame) -> DataFrame:
+    """(chunk_id, source_id, text, title, location) of the chunks of (chunk_id) ids; unknown ids and chunks without a source
+    have no row, repeated ids one."""
+    return chunks.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi").join(sources.select("source_id", "title", "location"), "source_id").select("chunk_id", "source_id", "text", "title", "location")
+
+
+def newest_first(chunks: DataFrame, limit: int) -> DataFrame:
+    """The last stored chunks, a top-k report; ties by chunk_id. Seeds of a run over a part of the store are the first
+    stored ones: the same with the order turned round."""
+    return chunks.orderBy(F.desc("ingested_at"), "chunk_id").limit(limit)
+
+
+def upsert(sources: DataFrame, chunks: DataFrame, incoming: DataFrame, arrived: DataFrame, now: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sources, chunks, result) after an ingest of (sources, chunks); result is (source_id, upserted, skipped, note) of each
+    incoming source that has chunks: how many of them were new, how many a stored chunk already had, and, where all were
+    known, that only its time of verification changed."""
+    added = new_chunks(arrived, chunks)
+    merged = merge_sources(sources, incoming, added, arrived, now)
+    counts = arrived.groupBy("source_id").agg(F.count("*").alias("n")).join(added.groupBy("source_id").agg(F.count("*").alias("fresh")), "source_id", "left")
+    fresh = F.coalesce("fresh", F.lit(0))
+    result = incoming.select("source_id").distinct().join(counts, "source_id").select("source_id", fresh.alias("upserted"), (F.col("n") - fresh).alias("skipped"), F.when(fresh == 0, "all chunks are known").alias("note"))
+    return merged, chunks.unionByName(added.select(*chunks.columns)), result
+
+
+def ingest_summary(result: DataFrame, advise: float = 0.05) -> DataFrame:
+    """(n_sources, n_new, n_skipped, advise_dedup): one row over the results of an ingest; de-duplication is advised if more
+    than that share of the chunks were known."""
+    total = F.coalesce(F.sum("upserted"), F.lit(0)) + F.coalesce(F.sum("skipped"), F.lit(0))
+    skipped = F.coalesce(F.sum("skipped"), F.lit(0))
+    return result.agg(F.count("*").alias("n_sources"), F.coalesce(F.sum("upserted"), F.lit(0)).alias("n_new"), skipped.alias("n_skipped"), (skipped > total * advise).alias("advise_dedup"))
+
+
+def merge_vectors(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Vectors by chunk_id after an upsert: an incoming one replaces the stored one. Of several incoming rows of an id the
+    greatest one counts."""
+    columns = [c for c in stored.columns if c != "chunk_id"]
+    once = incoming.groupBy("chunk_id").agg(F.max(F.struct(*columns)).alias("n")).select("chunk_id", "n.*")
+    return stored.join(once.select("chunk_id"), "chunk_id", "left_anti").unionByName(once)
+
+
+def without(rows: DataFrame, dropped: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Rows whose key is in no row of ``dropped``: what a de-duplication leaves when it is applied."""
+    return rows.join(dropped.select(key).distinct(), key, "left_anti")
 
 
 def stale(sources: DataFrame, now: float, days: float = 30) -> DataFrame:
@@ -122,7 +180,12 @@ def contradiction_pairs_logged(log: DataFrame) -> DataFrame:
 
 
 def resolve(log: DataFrame, chunks: DataFrame, keep: str, drop: str, now_resolution: str = "superseded") -> tuple[DataFrame, DataFrame]:
-    """(log, chunks) after a pair is resolved: its rows in either orientation get the resolution, the dropped chunk goes."""
+    """(log, chunks) after a pair is resolved: its rows in either orientation get the resolution, the dropped chunk goes.
+
+    A ``KeyError`` tells that no such chunk is stored; nothing is changed then. The kept one is not looked up.
+    """
+    if chunks.where(F.col("chunk_id") == drop).isEmpty():
+        raise KeyError(drop)
     pair = ((F.col("chunk_a") == keep) & (F.col("chunk_b") == drop)) | ((F.col("chunk_a") == drop) & (F.col("chunk_b") == keep))
     return log.withColumn("resolution", F.when(pair, F.lit(now_resolution)).otherwise(F.col("resolution"))), chunks.where(F.col("chunk_id") != drop)
 
@@ -130,8 +193,8 @@ def resolve(log: DataFrame, chunks: DataFrame, keep: str, drop: str, now_resolut
 def log_gaps(gaps: DataFrame, questions: DataFrame, now: float, reason: str = "manual") -> DataFrame:
     """Gaps with new questions appended; ids go on from the greatest one, in order of the question."""
     start = gaps.agg(F.coalesce(F.max("id"), F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.orderBy("question"))
-    added = questions.select("question", place.alias("place")).join(start).select((F.col("start") + F.col("place")).cast("long").alias("id"), "question", F.lit(reason).alias("reason"), F.lit(now).alias("logged_at"), F.lit(False).alias("resolved"))
+    placed = numbered(questions.select("question"), ["question"]).join(start)
+    added = placed.select((F.col("start") + F.col("place")).cast("long").alias("id"), "question", F.lit(reason).alias("reason"), F.lit(now).alias("logged_at"), F.lit(False).alias("resolved"))
     return gaps.unionByName(added)
 
 

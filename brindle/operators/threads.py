@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.text import SENSITIVE_TERMS, any_of, collapsed
-from brindle.session import skipping_empty
 
 # Patterns of requests, commitments and deadlines, and phrases that void them.
 REQUESTS = (
@@ -29,11 +25,6 @@ LOOSE_DEADLINE = r"\b(?:deadline|due date|cut[- ]?off)\b[^.!?\n]{0,80}"
 VOIDED = ("no need to", "you don't have to", "we don't need to", "ignore this", "this is just fyi", "no action required", "nothing required from you")
 PLEASANTRIES = ("fyi ", "btw ", "cool ", "great ", "thanks ", "thank you")
 
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
-_SPACE = re.compile(r"\s+")
-_PATTERNS = [("request", re.compile(p, re.I)) for p in REQUESTS] + [("commitment", re.compile(p, re.I)) for p in COMMITMENTS]
-_DEADLINE, _LOOSE = re.compile(DEADLINE, re.I), re.compile(LOOSE_DEADLINE, re.I)
-
 _empty = lambda c: F.coalesce(c, F.lit(""))
 
 
@@ -89,49 +80,59 @@ def sensitive(threads: DataFrame) -> DataFrame:
     return threads.where(F.lower(_last_body()).rlike(any_of(SENSITIVE_TERMS))).select("id")
 
 
-def items_of(body: str | None, by_user: bool) -> list[tuple[str, str, str, str | None]]:
-    """(kind, text, owner, deadline) of the requests, commitments and questions of one message, in order.
+def _sentences(body: Column) -> Column:
+    """Sentences of a message on one line each, without empty ones."""
+    parts = F.split(F.replace(_empty(body), F.lit("\r"), F.lit("")), r"(?U)(?<=[.!?])\s+|\n+")
+    return F.filter(F.transform(parts, collapsed), lambda x: x != "")
+
+
+def _found(line: Column, pattern: str) -> Column:
+    """What the first group of a pattern matches, collapsed; empty where nothing does."""
+    return collapsed(F.regexp_extract(line, "(?iU)" + pattern, 1))
+
+
+def _deadline(line: Column) -> Column:
+    near = _found(line, DEADLINE)
+    loose = collapsed(F.regexp_extract(line, "(?iU)(" + LOOSE_DEADLINE + ")", 1))
+    return F.coalesce(F.nullif(near, F.lit("")), F.nullif(loose, F.lit("")))
+
+
+_ITEM = "struct<kind:string,text:string,deadline:string>"
+
+
+def items(body: Column) -> Column:
+    """Array of (kind, text, deadline): the requests, commitments and questions of a message, in order.
 
     A sentence with a voiding phrase gives none. A text that came before in the message is not repeated; a sentence that
     gave no new request or commitment counts as a question if it has a question mark and doesn't open with a pleasantry.
     """
-    out, seen = [], set()
-    for part in _SENTENCE.split((body or "").replace("\r", "")):
-        line = _SPACE.sub(" ", part).strip()
-        low = line.lower()
-        if not line or any(v in low for v in VOIDED):
-            continue
-        due = _DEADLINE.search(line)
-        loose = None if due else _LOOSE.search(line)
-        deadline = due.group(1) if due else loose.group() if loose else None
-        deadline = _SPACE.sub(" ", deadline).strip() if deadline else None
-        new = []
-        for kind, pattern in _PATTERNS:
-            found = pattern.search(line)
-            text = _SPACE.sub(" ", found.group(1)).strip() if found else ""
-            if text and text.lower() not in seen:
-                seen.add(text.lower())
-                new.append((kind, text, "user" if (kind == "request") != by_user else "sender", deadline))
-        if not new and "?" in line and not low.startswith(PLEASANTRIES) and line.rstrip("?").lower() not in seen:
-            seen.add(line.rstrip("?").lower())
-            new.append(("direct_question", line.rstrip("?"), "sender" if by_user else "user", deadline))
-        out += new
-    return out
+    low = lambda c: F.lower(c)
+    item = lambda kind, text, due: F.struct(F.lit(kind).alias("kind"), text.alias("text"), due.alias("deadline"))
 
+    def candidates(line: Column) -> Column:
+        due = _deadline(line)
+        return F.array(*[item("request", _found(line, p), due) for p in REQUESTS], *[item("commitment", _found(line, p), due) for p in COMMITMENTS])
 
-def action_items(threads: DataFrame, user: str = "") -> DataFrame:
-    """(id, msg_index, place, kind, text, owner, deadline): action items of every message, see ``items_of``.
+    def step(done: Column, s: Column) -> Column:
+        met = lambda text, among: F.exists(among, lambda x: low(x["text"]) == low(text))
+        new = F.filter(s["found"], lambda x, i: (x["text"] != "") & ~met(x["text"], done) & ~met(x["text"], F.slice(s["found"], F.lit(1), i)))
+        asks = F.contains(s["line"], F.lit("?")) & ~low(s["line"]).rlike("^(?:" + any_of(PLEASANTRIES) + ")") & ~met(s["asked"], done)
+        question = F.when(asks, F.array(item("direct_question", s["asked"], s["due"]))).otherwise(F.array().cast(f"array<{_ITEM}>"))
+        return F.concat(done, F.when(F.size(new) > 0, new).otherwise(question))
 
-    ``user``: part of the user's address; messages from it have their owners swapped. Null and blank bodies have none.
-    """
-    rows = threads.select("id", F.posexplode(_messages()).alias("msg_index", "m")).select("id", "msg_index", F.col("m.from").alias("sender"), F.col("m.body").alias("body"))
+    lines = F.filter(_sentences(body), lambda x: ~low(x).rlike(any_of(VOIDED)))
+    told = F.transform(lines, lambda x: F.struct(x.alias("line"), candidates(x).alias("found"), _deadline(x).alias("due"), F.regexp_replace(x, r"\?+$", "").alias("asked")))
+    return F.aggregate(told, F.array().cast(f"array<{_ITEM}>"), step)
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for key, index, sender, body in pdf.itertuples(index=False):
-                mine = bool(user) and user.lower() in (sender or "").lower()
-                out += [(key, index, i, *item) for i, item in enumerate(items_of(body if isinstance(body, str) else None, mine))]
-            yield pd.DataFrame(out, columns=["id", "msg_index", "place", "kind", "text", "owner", "deadline"])
 
-    return rows.mapInPandas(skipping_empty(run), "id string, msg_index int, place int, kind string, text string, owner string, deadline string")
+def action_items(threads: DataFrame, user: str = "") -> DataFrame:
+    """(id, msg_index, place, kind, text, owner, deadline): action items of every message, see ``items``.
+
+    What is asked for is up to the reader: the user, or in the user's own messages their sender; what is promised, up to
+    the other one. ``user`` is part of the user's address. Null and blank bodies have none.
+    """
+    rows = threads.select("id", F.posexplode(_messages()).alias("msg_index", "m"))
+    mine = F.contains(F.lower(_empty(F.col("m.from"))), F.lit(user.lower())) if user else F.lit(False)
+    rows = rows.select("id", "msg_index", mine.alias("mine"), F.posexplode(items(F.col("m.body"))).alias("place", "i"))
+    owner = F.when((F.col("i.kind") == "commitment") == F.col("mine"), "user").otherwise("sender")
+    return rows.select("id", "msg_index", "place", "i.kind", "i.text", owner.alias("owner"), "i.deadline")

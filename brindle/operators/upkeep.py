@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.text import SENSITIVE_TERMS, any_of, collapsed, source_id
 from brindle.operators import chunking, store, threads, vectors
+from brindle.session import numbered
 
 
 def resolve_gaps(gaps: DataFrame, ids: DataFrame) -> DataFrame:
@@ -30,8 +31,7 @@ def weak_answers(confidences: DataFrame, questions: DataFrame) -> DataFrame:
 def log_contradictions(log: DataFrame, pairs: DataFrame, now: float, note: str = "negation-asymmetry") -> DataFrame:
     """The log with found pairs (id_a, id_b) appended; ids go on from the greatest one, in order of the pair."""
     start = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.orderBy("id_a", "id_b"))
-    rows = pairs.select(F.col("id_a").cast("string").alias("chunk_a"), F.col("id_b").cast("string").alias("chunk_b"), place.alias("place")).join(start)
+    rows = numbered(pairs.select(F.col("id_a").cast("string").alias("chunk_a"), F.col("id_b").cast("string").alias("chunk_b")), ["chunk_a", "chunk_b"]).join(start)
     added = rows.select((F.col("start") + F.col("place")).cast("long").alias("id"), "chunk_a", "chunk_b", F.lit(note).alias("note"), F.lit(now).alias("detected_at"), F.lit(None).cast("string").alias("resolution"))
     return log.select(*added.columns).unionByName(added)
 

@@ -1,13 +1,12 @@
-"""Vector search: exact top-k by cosine over blocks of a stated query set, and what is built on it.
+"""Vector search: exact top-k by cosine of a stated query set, and what is built on it.
 
-The queries are read in blocks of a fixed number. One pass over the stored vectors multiplies each Arrow batch with a
-block and keeps the best ``k`` per query and batch, so what is shuffled is at most ``k`` rows per query and batch.
+One block of queries is broadcast, and a pass over the stored vectors multiplies each Arrow batch with it. More queries are
+joined in blocks: queries and vectors are dealt into blocks of a bounded number, and a task multiplies one block of either.
+Both keep the best ``k`` per query, or those from a threshold on, before anything is shuffled by query.
 """
 
 from __future__ import annotations
 
-from itertools import islice
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,10 +14,12 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import has_negation
 from brindle.operators.store import confidence
-from brindle.session import skipping_empty
+from brindle.session import blocks, skipping_empty
 
 #: Queries of one block; with 1,024 dimensions of 4 bytes it is 16 MB at each task.
 QUERIES_AT_ONCE = 4096
+#: Vectors of one block.
+VECTORS_AT_ONCE = 32_768
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -27,6 +28,54 @@ def _unit(rows: list) -> np.ndarray:
     return m / np.where(size == 0, 1, size)
 
 
+def _best(ids, matrix, labels, frame: pd.DataFrame, k: int | None, least: float | None, same_label: bool) -> pd.DataFrame:
+    """Hits of a block of queries among some vectors: the best ``k`` of each query, or all from ``least`` on."""
+    scores = matrix @ _unit(frame["embedding"].tolist()).T
+    if same_label:
+        scores[labels[:, None] != frame["label"].to_numpy()[None, :]] = -np.inf
+    own = frame["vec_id"].to_numpy()
+    if k is None:
+        q, v = np.nonzero(np.round(scores, 6) >= least)
+        return pd.DataFrame({"query_id": ids[q], "vec_id": own[v], "score": scores[q, v]})
+    top = min(k, len(own))
+    order = np.lexsort((np.broadcast_to(own, scores.shape), -np.round(scores, 9)), axis=1)[:, :top]
+    found = pd.DataFrame({"query_id": np.repeat(ids, top), "vec_id": own[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
+    return found[np.isfinite(found["score"])]
+
+
+def _hits(queries: DataFrame, vectors: DataFrame, k: int | None, least: float | None, same_label: bool) -> DataFrame:
+    spark = queries.sparkSession
+    usable = lambda df: df.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
+    label = "label" if same_label else F.lit(0).alias("label")
+    asked, stored = usable(queries).select("query_id", "embedding", label), usable(vectors).select("vec_id", "embedding", label)
+    schema = "query_id long, vec_id long, score double"
+    rows = asked.limit(QUERIES_AT_ONCE + 1).collect()
+    if len(rows) <= QUERIES_AT_ONCE:
+        block = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), _unit([r[1] for r in rows]) if rows else None, np.array([r[2] for r in rows])))
+
+        def run(batches):
+            ids, matrix, labels = block.value
+            for pdf in batches:
+                if len(pdf) and matrix is not None:
+                    yield _best(ids, matrix, labels, pdf, k, least, same_label)
+
+        return stored.mapInPandas(skipping_empty(run), schema)
+    n_queries, n_vectors = -(-asked.count() // QUERIES_AT_ONCE), max(blocks(spark), -(-stored.count() // VECTORS_AT_ONCE))
+    dealt = lambda df, key, n, other, m: df.withColumn("_" + key, F.pmod(F.xxhash64(key), F.lit(n))).withColumn("_" + other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    left = dealt(asked, "query_id", n_queries, "vec_id", n_vectors).groupBy("_query_id", "_vec_id")
+    # Both may come from one table; names of its own keep the sides apart.
+    stored = stored.select("vec_id", F.col("embedding").alias("v_embedding"), F.col("label").alias("v_label"))
+    right = dealt(stored, "vec_id", n_vectors, "query_id", n_queries).groupBy("_query_id", "_vec_id")
+
+    def multiply(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        v = v.rename(columns={"v_embedding": "embedding", "v_label": "label"})
+        # Half as many queries at a time as one block has bound the scores that are held at once.
+        parts = [_best(p["query_id"].to_numpy(), _unit(p["embedding"].tolist()), p["label"].to_numpy(), v, k, least, same_label) for p in (q[i : i + 1024] for i in range(0, len(q), 1024)) if len(v)]
+        return pd.concat(parts) if parts else pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+
+    return left.cogroup(right).applyInPandas(multiply, schema)
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 8, same_label: bool = False) -> DataFrame:
     """(query_id, vec_id, score, rank): the ``k`` vectors nearest to each query, itself included; ties by vec_id.
 
@@ -34,42 +83,21 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 8, same_label: bool
     the query's label are ranked, which is applied before the ranking. Null and empty vectors are left out; a vector of
     zeros has score 0. Rows of one id count once each.
     """
-    spark = queries.sparkSession
-    usable = lambda df: df.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
-    label = "label" if same_label else F.lit(0).alias("label")
-    rows = usable(queries).select("query_id", "embedding", label).toLocalIterator()
-    stored = usable(vectors).select("vec_id", "embedding", label)
-    out, schema = None, "query_id long, vec_id long, score double"
-    while True:
-        part = list(islice(rows, QUERIES_AT_ONCE))
-        if not part and out is not None:
-            break
-        block = spark.sparkContext.broadcast((np.array([r[0] for r in part], np.int64), _unit([r[1] for r in part]) if part else None, np.array([r[2] for r in part])))
-
-        def run(batches, block=block):
-            ids, matrix, labels = block.value
-            for pdf in batches:
-                if not len(pdf) or matrix is None:
-                    continue
-                scores = matrix @ _unit(pdf["embedding"].tolist()).T
-                if same_label:
-                    scores[labels[:, None] != pdf["label"].to_numpy()[None, :]] = -np.inf
-                own = pdf["vec_id"].to_numpy()
-                top = min(k, len(own))
-                order = np.lexsort((np.broadcast_to(own, scores.shape), -np.round(scores, 9)), axis=1)[:, :top]
-                found = pd.DataFrame({"query_id": np.repeat(ids, top), "vec_id": own[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
-                yield found[np.isfinite(found["score"])]
-
-        own = stored.mapInPandas(skipping_empty(run), schema)
-        out = own if out is None else out.unionByName(own)
-        if len(part) < QUERIES_AT_ONCE:
-            break
+    found = _hits(queries, vectors, k, None, same_label)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id"))
-    return out.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+def within(queries: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """(query_id, vec_id, score): all vectors with at least this score to each query, itself included, however many."""
+    return _hits(queries, vectors, None, threshold, False).withColumn("score", F.round("score", 6))
 
 
 def near_duplicates(hits: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """(id_a, id_b, score): unordered pairs of a query and another vector at or above the threshold, among its hits."""
+    """(id_a, id_b, score): unordered pairs of a query and another vector at or above the threshold, among its hits.
+
+    Hits of ``nearest`` bring at most ``k`` pairs a query; those of ``within`` bring all.
+    """
     pairs = hits.where((F.col("query_id") != F.col("vec_id")) & (F.col("score") >= threshold))
     return pairs.groupBy(F.least("query_id", "vec_id").alias("id_a"), F.greatest("query_id", "vec_id").alias("id_b")).agg(F.max("score").alias("score"))
 

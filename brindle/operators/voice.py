@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.text import CONTRACTIONS, EMOJI, FILLERS, GREETINGS, SIGN_OFFS, SIGNATURE_STARTS, any_of, lines_of, sentences
@@ -86,8 +86,8 @@ def per_recipient(messages: DataFrame, least: int = 5) -> DataFrame:
 def top_formulas(counted: DataFrame, column: str, k: int = 5) -> DataFrame:
     """(formula, n, share): the ``k`` most used values of a column, a top-k report; shares of all filled values."""
     totals = counted.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("formula")).agg(F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return totals.withColumn("share", share).orderBy(F.desc("n"), "formula").limit(k)
+    every = totals.agg(F.sum("n").alias("_all"))
+    return totals.join(F.broadcast(every)).withColumn("share", F.col("n") / F.col("_all")).drop("_all").orderBy(F.desc("n"), "formula").limit(k)
 
 
 def top_fillers(messages: DataFrame, k: int = 5) -> DataFrame:
@@ -95,3 +95,35 @@ def top_fillers(messages: DataFrame, k: int = 5) -> DataFrame:
     text = own_text(F.col("body"))
     present = F.filter(F.array(*map(F.lit, FILLERS)), lambda f: F.rlike(F.lower(text), F.concat(F.lit(r"\b"), f, F.lit(r"\b"))))
     return messages.select(F.explode(present).alias("filler")).groupBy("filler").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "filler").limit(k)
+
+
+def profiles(messages: DataFrame, built_at: str, least: int = 5) -> DataFrame:
+    """The profile store: a row for all messages (recipient null) and one for each recipient with ``least`` messages or more:
+    (recipient, the style of ``profile``, channels, built_at); channels are the distinct filled ones, sorted."""
+    counted = features(messages)
+    named = F.array_sort(F.collect_set(F.nullif(F.trim("channel"), F.lit(""))))
+    rows = counted.withColumn("_to", F.explode("to")).withColumn("recipient", F.lower(F.trim("_to"))).where("recipient <> ''")
+    by = profile(rows, "recipient").where(F.col("sample_count") >= least).join(rows.groupBy("recipient").agg(named.alias("channels")), "recipient")
+    every = profile(counted).join(counted.agg(named.alias("channels"))).withColumn("recipient", F.lit(None).cast("string"))
+    return by.unionByName(every).withColumn("built_at", F.lit(built_at))
+
+
+def injected(drafts: DataFrame, store: DataFrame) -> DataFrame:
+    """Drafts (draft, recipient) with the style to write them in: ``scope`` is recipient, global where there is none of the
+    recipient, or none without any profile; the rule against em dashes holds in any case.
+
+    Recipients are compared without outer white space and letter case. There is one row per recipient in the store, so
+    the join adds no rows.
+    """
+    style = [c for c in store.columns if c not in ("recipient", "built_at", "channels")]
+    own = store.where("recipient is not null").select(F.col("recipient").alias("_key"), F.struct(*style).alias("_own"))
+    whole = store.where("recipient is null").agg(F.first(F.struct(*style)).alias("_all"))
+    joined = drafts.join(own, F.lower(F.trim("recipient")) == F.col("_key"), "left").join(F.broadcast(whole))
+    scope = F.when(F.col("_own").isNotNull(), "recipient").when(F.col("_all").isNotNull(), "global").otherwise("none")
+    return joined.select("draft", "recipient", scope.alias("scope"), F.coalesce("_own", "_all").alias("style"), F.lit(True).alias("no_em_dash"))
+
+
+def profile_status(store: DataFrame) -> DataFrame:
+    """(sample_count, n_recipients, channels, built_at): one row about the store."""
+    whole = F.col("recipient").isNull()
+    return store.agg(F.max(F.when(whole, F.col("sample_count"))).alias("sample_count"), F.count_if(~whole).alias("n_recipients"), F.max(F.when(whole, F.col("channels"))).alias("channels"), F.max("built_at").alias("built_at"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Settings that the engine expects of every session. All are safe on a cluster; sizes are left to the caller.
@@ -81,6 +81,23 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", h
     return dealt.join(repeated, [key, "_part"], how).drop("_part")
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """Rows with their number from 1 in the order of some columns, which should tell them apart.
+
+    Rows are sorted over range partitions and numbered within them; only the partitions' counts, as many as there are
+    partitions, come to the driver. No task holds all rows.
+    """
+    ranged = checkpointed(df.repartitionByRange(blocks(df.sparkSession), *order).withColumn("_part", F.spark_partition_id()))
+    counts = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())
+    before, total = [], 0
+    for part, n in counts:
+        before.append((part, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(before, "_part int, _before long")
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("_local", local).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_before", "_local")
+
+
 def skipping_empty(run):
     """A ``mapInPandas`` function without its empty frames, whose columns may lack the types that Arrow needs."""
 

@@ -27,8 +27,10 @@ SCHEMAS = {
 
 
 def read_json(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Documents of a kind from JSON files that hold an array or an object each; broken files give rows of nulls."""
-    return spark.read.schema(SCHEMAS[kind]).json(path, multiLine=True)
+    """Documents of a kind from JSON files that hold an array or an object each; broken files give rows of nulls.
+    Outcomes need a summary; those without one are left out."""
+    rows = spark.read.schema(SCHEMAS[kind]).json(path, multiLine=True)
+    return rows.where(F.length(F.trim(F.coalesce("summary", F.lit("")))) > 0) if kind == "outcome" else rows
 
 
 def read_sent_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -43,7 +45,7 @@ def stem(path: Column) -> Column:
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """(location, title, text, error) of all files of known kinds below a folder, one row each, ordered by nothing.
+    """(location, title, text, error) of all files of known kinds below a folder, one row each, in order of location.
 
     Files are read as bytes; text is UTF-8 with broken bytes replaced. A file that can't be read has a null text and its
     error; it stops no other file.
@@ -61,7 +63,7 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((place, None, f"{type(e).__name__}: {e}"[:500]))
             yield pd.DataFrame(rows, columns=["location", "text", "error"])
 
-    return files.select("path", "content").mapInPandas(skipping_empty(run), "location string, text string, error string").withColumn("title", stem(F.col("location")))
+    return files.select("path", "content").mapInPandas(skipping_empty(run), "location string, text string, error string").withColumn("title", stem(F.col("location"))).orderBy("location")
 
 
 def extract(suffix: str, content: bytes) -> str:
@@ -138,7 +140,8 @@ def calendar_events(files: DataFrame) -> DataFrame:
     """
     lines = F.split(F.regexp_replace(F.coalesce("content", F.lit("")), r"\r?\n[ \t]", ""), r"\r?\n")
     whole = F.array_join(lines, "\n")
-    blocks = F.slice(F.split(whole, r"(?m)^BEGIN:VEVENT\s*$"), 2, 1_000_000)
+    parts = F.split(whole, r"(?m)^BEGIN:VEVENT\s*$")
+    blocks = F.slice(parts, F.lit(2), F.size(parts))
     rows = files.select("location", F.posexplode(F.transform(blocks, lambda b: F.element_at(F.split(b, r"(?m)^END:VEVENT\s*$"), 1))).alias("place", "block"))
 
     def last(name: str, group: int) -> Column:
@@ -160,16 +163,37 @@ def calendar_events(files: DataFrame) -> DataFrame:
     return out.withColumn("start", start).withColumn("end", F.coalesce(end, start)).withColumn("all_day", all_day).withColumn("warnings", warnings).drop("_sp", "_sv", "_ep", "_ev")
 
 
+@F.pandas_udf(T.StringType())
+def _known_zone(name: pd.Series) -> pd.Series:
+    """Names that are zones of the zone data, as they are; null for all others."""
+    from zoneinfo import available_timezones
+
+    known = available_timezones()
+    return name.map(lambda n: n if n in known else None)
+
+
 def _zone(params: Column) -> Column:
-    """The TZID of parameters if Spark knows it, else null."""
-    name = F.regexp_extract(F.coalesce(params, F.lit("")), r'TZID="?([^;"]+)', 1)
-    return F.when(name.rlike(r"^(?:Africa|America|Antarctica|Asia|Atlantic|Australia|Europe|Indian|Pacific|Etc)/[A-Za-z_+\-0-9/]+$|^UTC$"), name)
+    """The TZID of parameters if there is such a zone, else null."""
+    return _known_zone(F.regexp_extract(F.coalesce(params, F.lit("")), r'TZID="?([^;"]+)', 1))
 
 
 def calendar_time(params: Column, value: Column) -> Column:
-    """UTC timestamp of an iCalendar time; null where it is none. Zones are taken by their names' form; see ``_zone``."""
+    """UTC timestamp of an iCalendar time; null where it is none. A zone that doesn't exist counts as UTC."""
     v = F.trim(value)
     day = F.to_timestamp(F.try_to_timestamp(v, F.lit("yyyyMMdd")))
     moment = F.try_to_timestamp(F.regexp_replace(v, "Z$", ""), F.lit("yyyyMMdd'T'HHmmss"))
     zone = _zone(params)
     return F.when(F.length(v) == 8, day).when(v.endswith("Z") | zone.isNull(), moment).otherwise(F.to_utc_timestamp(moment, F.coalesce(zone, F.lit("UTC"))))
+
+
+def first_event(events: DataFrame) -> DataFrame:
+    """The first event of each file of ``calendar_events`` with ``extra_events``, how many more there are. A file without
+    events has no row."""
+    return events.groupBy("location").agg(F.min_by(F.struct(*[c for c in events.columns if c != "location"]), "place").alias("e"), (F.count("*") - 1).alias("extra_events")).select("location", "e.*", "extra_events")
+
+
+def fetched_pages(pages: DataFrame) -> DataFrame:
+    """(location, title, text, error) of (url, html) pages that something else has fetched: the title is that of the page or
+    its address; a null page was not fetched and has an error."""
+    title = F.nullif(F.trim(F.regexp_extract(F.col("html"), r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
+    return pages.select(F.col("url").alias("location"), F.coalesce(title, "url").alias("title"), F.when(F.col("html").isNotNull(), page_text_column(F.col("html"))).alias("text"), F.when(F.col("html").isNull(), "not fetched").alias("error"))

@@ -210,8 +210,11 @@ def test_near_vectors_of_all_ids(spark, tmp_path):
     assert {(r.id_a, r.id_b) for r in run("contradiction_pairs_all")} == {(a, b) for a, b in expected(0.3) if (a - b) % 2}
 
 
-def test_action_items():
-    item = lambda text, user=False: [(k, t, o, d) for k, t, o, d in threads.items_of(text, user)]
+def test_action_items(spark):
+    def item(text, user=False):
+        rows = spark.createDataFrame([("t", [("noa@x" if user else "ann@x", None, text)])], "id string, messages array<struct<`from`: string, date: string, body: string>>")
+        return [(r.kind, r.text, r.owner, r.deadline) for r in threads.action_items(rows, "Noa@").orderBy("place").collect()]
+
     assert item("Please send the slides by Friday EOD.") == [("request", "send the slides by Friday EOD", "user", "Friday")]
     assert item("I'll review it by next week.") == [("commitment", "review it by next week", "sender", "next week")]
     assert item("I'll review it by next week.", True)[0][2] == "user"
