@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from brindle.functions.text import CONTRACTIONS, EMOJI, FILLERS, GREETINGS, SIGN_OFFS, SIGNATURE_STARTS, SPACE
 from brindle.operators import chunking, messages, patterns, retrieval, store, threads, upkeep, vectors, voice
 from brindle.session import checkpointed, table
+from brindle.sources import readers
 
 #: The moment that time-dependent queries take as now, in epoch seconds: 2026-10-01.
 NOW = 1_790_812_800.0
@@ -364,6 +365,37 @@ def conflict_counts(spark, d):
     return messages.conflict_counts(windows, messages.conflicts(windows, events, ignore=own))
 
 
+def _calendars(spark, d):
+    """One calendar file per event: the start in UTC, in a named zone or as a date by event_id modulo 3; an hour long but for dates, which have no end."""
+    e = table(spark, d, "events").where("ts is not null")
+    at = lambda seconds, form: F.date_format(F.timestamp_seconds(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6) + seconds), form)
+    moment, kind = "yyyyMMdd'T'HHmmss", F.col("event_id") % 3
+    times = (
+        F.when(kind == 0, F.concat(F.lit("DTSTART:"), at(0, moment), F.lit("Z\r\nDTEND:"), at(3600, moment), F.lit("Z")))
+        .when(kind == 1, F.concat(F.lit("DTSTART;TZID=UTC:"), at(0, moment), F.lit("\r\nDTEND;TZID=UTC:"), at(3600, moment)))
+        .otherwise(F.concat(F.lit("DTSTART;VALUE=DATE:"), at(0, "yyyyMMdd")))
+    )
+    whole = F.concat_ws("\r\n", F.lit("BEGIN:VCALENDAR"), F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.col("event_id")), F.concat(F.lit("SUMMARY:user "), F.col("user_id"), F.lit("\\, fol\r\n ded "), F.coalesce("event_type", F.lit(""))), times, F.lit("END:VEVENT"), F.lit("END:VCALENDAR"))
+    return readers.calendar_events(e.select(F.concat(F.lit("cal/"), F.col("event_id")).alias("location"), whole.alias("content")))
+
+
+def parsed_calendars(spark, d):
+    return _calendars(spark, d).select("uid", "summary", F.unix_timestamp("start").alias("starts_at"), F.unix_timestamp("end").alias("ends_at"), "all_day", F.size("warnings").alias("n_warnings"))
+
+
+def calendar_conflicts(spark, d):
+    """How many parsed events overlap the hour of every fiftieth event, itself left out by its uid."""
+    own = _calendars(spark, d).select(F.col("uid").cast("long").alias("event_id"), F.unix_timestamp("start").cast("double").alias("start"), F.unix_timestamp("end").cast("double").alias("end"))
+    windows = own.where("event_id % 50 = 0").select(F.col("event_id").alias("window_id"), "start", (F.col("start") + 3600).alias("end"))
+    return messages.conflict_counts(windows, messages.conflicts(windows, own, ignore=windows.select("window_id", F.col("window_id").alias("event_id"))))
+
+
+def page_texts(spark, d):
+    """Documents as fetched pages whose body is their number."""
+    page = F.concat(F.lit("<html><head><title> "), F.coalesce("source", F.lit("")), F.lit(" </title><script>x()</script></head><body><nav>menu</nav><p>no. &amp;"), F.col("doc_id"), F.lit("</p><footer>f</footer></body></html>"))
+    return readers.fetched_pages(table(spark, d, "documents").select(F.concat(F.lit("http://x/"), F.col("doc_id")).alias("url"), page.alias("html")))
+
+
 def interval_conflicts(spark, d):
     """Half-hour windows at the events with event_id % 50 = 0 against all other events as [ts, ts + value minutes)."""
     e = table(spark, d, "events").withColumn("start", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
@@ -500,7 +532,7 @@ QUERIES = {
         message_templates, pattern_best_match, voice_global, voice_by_recipient, voice_greetings, voice_sign_offs, voice_fillers, rendered_threads, last_messages, draft_topics,
         reply_routes, sensitive_threads, action_items, upsert_results, chunks_after_upsert, ingest_summary, fetched_chunks, newest_chunks, merged_vectors, logged_gaps, open_gaps,
         appended_contradictions, chunk_metadata, note_sources, contacts, outcome_notes, due_profiles, query_filtered, answers, lookup, deep_gaps, vectors_within, kept_vectors, draft_preflight,
-        triage_ranked, followup_report, followup_counts, conflict_counts, pattern_store, pattern_list, compared_drafts, voice_store, voice_injected, voice_status,
+        triage_ranked, followup_report, followup_counts, conflict_counts, parsed_calendars, calendar_conflicts, page_texts, pattern_store, pattern_list, compared_drafts, voice_store, voice_injected, voice_status,
     )
 }
 
@@ -599,6 +631,9 @@ def _template(column: str) -> str:
 
 
 _BIGRAMS = "CASE WHEN len(string_split(t, ' ')) = 1 THEN [t || ' '] ELSE list_distinct(list_transform(range(1, len(string_split(t, ' '))), lambda i: string_split(t, ' ')[i] || ' ' || string_split(t, ' ')[i + 1])) END"
+_CALENDARS = """
+  SELECT event_id, CAST(event_id AS VARCHAR) AS uid, 'user ' || user_id || ', folded ' || coalesce(event_type, '') AS summary, CASE WHEN event_id % 3 = 2 THEN a - a % 86400 ELSE a END AS s,
+    CASE WHEN event_id % 3 = 2 THEN a - a % 86400 ELSE a + 3600 END AS t, event_id % 3 = 2 AS all_day FROM (SELECT *, CAST(floor(epoch_us(ts) / 1e6) AS BIGINT) AS a FROM events WHERE ts IS NOT NULL)"""
 _OUTCOMES = f"""
   SELECT sent_id AS seq, CAST(length(coalesce(body, '')) AS DOUBLE) AS moment, channel, "to"[1] AS recipient, substring(body, 1, 40) AS body, {_template("substring(body, 1, 40)")} AS template,
     CASE length(coalesce(body, '')) % 5 WHEN 0 THEN 'sent_with_edit' WHEN 1 THEN 'cancelled' ELSE 'sent_unchanged' END AS result FROM ({_SENT_ONCE})"""
@@ -685,6 +720,11 @@ SQL = {
     "conflict_counts": """
       WITH e AS (SELECT event_id, epoch_us(ts) / 1e6 AS s, epoch_us(ts) / 1e6 + coalesce(value, 0) * CASE WHEN event_id % 100 = 7 THEN 3600 ELSE 60 END AS t FROM events)
       SELECT w.event_id AS window_id, count(e.event_id) AS n_conflicts FROM e w LEFT JOIN e ON e.s < w.s + 1800 AND e.t > w.s AND e.s <= e.t AND e.event_id <> w.event_id WHERE w.event_id % 50 = 0 GROUP BY w.event_id""",
+    "parsed_calendars": f"SELECT uid, summary, s AS starts_at, t AS ends_at, all_day, CAST(0 AS INTEGER) AS n_warnings FROM ({_CALENDARS})",
+    "calendar_conflicts": f"""WITH e AS ({_CALENDARS}) SELECT w.event_id AS window_id, count(e.event_id) AS n_conflicts
+      FROM e w LEFT JOIN e ON e.s < w.s + 3600 AND e.t > w.s AND e.event_id <> w.event_id WHERE w.event_id % 50 = 0 GROUP BY w.event_id""",
+    "page_texts": """SELECT 'http://x/' || doc_id AS location, coalesce(nullif(trim(source, ' '), ''), 'http://x/' || doc_id) AS title,
+      CASE WHEN coalesce(trim(source, ' '), '') = '' THEN '' ELSE trim(source, ' ') || chr(10) END || 'no. &' || doc_id AS text, CAST(NULL AS VARCHAR) AS error FROM documents""",
     "message_templates": f"SELECT substring(sha256(t), 1, 24) AS fingerprint, t AS template, count(*) AS n_messages FROM (SELECT {_template('snippet')} AS t FROM sample_messages_for_triage) GROUP BY t",
     "pattern_best_match": f"""
       WITH t AS (SELECT t, count(*) AS n FROM (SELECT {_template('snippet')} AS t FROM sample_messages_for_triage) WHERE t <> '' GROUP BY t), b AS (SELECT t, n, {_BIGRAMS} AS b FROM t),
