@@ -5,13 +5,15 @@ distance, a token type has one row of scores per distance, and the scores of a t
 many texts are decoded together by Viterbi in numpy. Segments in which no token can outweigh the best way out of and back
 to "nothing" are all "nothing" for certain and are not decoded.
 
-The field is trained by ``train`` on the labelled table ``personal_labels.jsonl`` beside this module; its weights are
-kept in ``personal_model.npz``.
+The field is trained by ``train`` on the labelled table ``personal_labels.jsonl`` beside this module, and on copies of its
+texts with other names (``training_rows``), so that it leans on shapes and contexts too and not on known names alone; its
+weights are kept in ``personal_model.npz``.
 """
 
 from __future__ import annotations
 
 import json
+import random
 import re
 from functools import lru_cache
 from itertools import accumulate
@@ -263,9 +265,41 @@ def load(path: str = str(MODEL)) -> Field:
 
 
 def labelled_texts(path: str | Path = LABELLED) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """(text, items) of the labelled table; a row with a weight counts so many times."""
     with open(path, encoding="utf-8") as f:
         rows = [json.loads(row) for row, _ in zip(f, range(LABELLED_ROWS)) if row.strip()]
-    return [(r["text"], [tuple(s) for s in r["spans"]]) for r in rows]
+    return [(r["text"], [tuple(s) for s in r["spans"]]) for r in rows for _ in range(r.get("weight", 1))]
+
+
+def varied(text: str, spans: list[tuple[int, int, str]], rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
+    """A text whose names, and some words of whose addresses, are made up anew, with the letter case of the old ones."""
+
+    def word(m: re.Match) -> str:
+        old = m.group()
+        if len(old) < 3:
+            return old
+        new = "".join(rng.choice("bdfghjklmnprstvwyz") + rng.choice("aeio") for _ in range(rng.choice((1, 2, 2, 3)))) + rng.choice(("", "", "n", "r", "s", "l", "ck", "th", "nd"))
+        return new.upper() if old.isupper() else new if old.islower() else new.capitalize()
+
+    out, at, placed = "", 0, []
+    for a, b, kind in sorted(spans):
+        out += text[at:a]
+        start, part = len(out), text[a:b]
+        if kind == "name":
+            part = re.sub(r"[^\W\d_]+", word, part)
+        elif kind == "address":
+            part = re.sub(r"\b[A-ZÀ-Ý][a-zß-ÿ]{3,}\b", lambda m: m.group() if rng.random() < 0.4 else word(m), part)
+        out += part
+        placed.append((start, len(out), kind))
+        at = b
+    return out + text[at:], placed
+
+
+def training_rows(path: str | Path = LABELLED, share: float = 0.5, seed: int = 1) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """The labelled texts, and varied copies of a share of those with items."""
+    rng = random.Random(seed)
+    rows = labelled_texts(path)
+    return rows + [varied(*r, rng) for r in rows if r[1] and rng.random() < share]
 
 
 def _gold(words: list[str], places: list[int], spans: list[tuple[int, int, str]]) -> np.ndarray:

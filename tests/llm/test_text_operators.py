@@ -233,6 +233,27 @@ def test_personal_held_out():
     assert right / (right + wrong) > 0.9 and right / (right + missed) > 0.9
 
 
+def test_personal_data_of_other_texts():
+    """Sentences of other kinds, written and labelled by hand: {kind:item}. No table and no pattern had a part in them."""
+    right = wrong = missed = 0
+    for line in Path(__file__).with_name("hand_personal.txt").read_text(encoding="utf-8").splitlines():
+        text, gold, at = "", set(), 0
+        for m in re.finditer(r"\{(\w+):((?:Dr |Herrn )?)([^}]*)\}", line):
+            text += line[at : m.start()] + m.group(2)
+            gold.add((len(text), m.group(1)))
+            text, at = text + m.group(3), m.end()
+        found = {(a, k) for a, _, k in personal.load().find([text + line[at:]])[0]}
+        right, wrong, missed = right + len(found & gold), wrong + len(found - gold), missed + len(gold - found)
+    assert right / (right + wrong) > 0.85 and right / (right + missed) > 0.4
+
+
+def test_varied_texts():
+    text, spans = "Ask Ann LEE at 12 Long Lane.", [(4, 11, "name"), (15, 27, "address")]
+    new, placed = personal.varied(text, spans, random.Random(3))
+    assert [k for _, _, k in placed] == ["name", "address"] and new[: placed[0][0]] == "Ask " and new[placed[0][1] : placed[1][0]] == " at " and new.endswith(".") and new != text
+    assert new[placed[0][0]].isupper() and new[placed[0][0] : placed[0][1]].split()[1].isupper() and new[placed[1][0] :].startswith("12 ")
+
+
 def test_personal_decoding_is_exact():
     """Viterbi with pruning against all label sequences scored one by one."""
     field = personal.load()
