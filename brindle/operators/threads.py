@@ -107,22 +107,27 @@ def items(body: Column) -> Column:
     gave no new request or commitment counts as a question if it has a question mark and doesn't open with a pleasantry.
     """
     low = lambda c: F.lower(c)
-    item = lambda kind, text, due: F.struct(F.lit(kind).alias("kind"), text.alias("text"), due.alias("deadline"))
+    item = lambda kind, text, due: F.struct(kind.alias("kind"), text.alias("text"), due.alias("deadline"))
 
     def candidates(line: Column) -> Column:
-        due = _deadline(line)
-        return F.array(*[item("request", _found(line, p), due) for p in REQUESTS], *[item("commitment", _found(line, p), due) for p in COMMITMENTS])
+        named = lambda kind, p: F.struct(F.lit(kind).alias("kind"), _found(line, p).alias("text"))
+        return F.filter(F.array(*[named("request", p) for p in REQUESTS], *[named("commitment", p) for p in COMMITMENTS]), lambda x: x["text"] != "")
 
     def step(done: Column, s: Column) -> Column:
         met = lambda text, among: F.exists(among, lambda x: low(x["text"]) == low(text))
-        new = F.filter(s["found"], lambda x, i: (x["text"] != "") & ~met(x["text"], done) & ~met(x["text"], F.slice(s["found"], F.lit(1), i)))
-        asks = F.contains(s["line"], F.lit("?")) & ~low(s["line"]).rlike("^(?:" + any_of(PLEASANTRIES) + ")") & ~met(s["asked"], done)
-        question = F.when(asks, F.array(item("direct_question", s["asked"], s["due"]))).otherwise(F.array().cast(f"array<{_ITEM}>"))
-        return F.concat(done, F.when(F.size(new) > 0, new).otherwise(question))
+        new = F.filter(s["found"], lambda x, i: ~met(x["text"], done) & ~met(x["text"], F.slice(s["found"], F.lit(1), i)))
+        asks = s["asks"] & ~met(s["asked"], done)
+        question = F.when(asks, F.array(item(F.lit("direct_question"), s["asked"], s["due"]))).otherwise(F.array().cast(f"array<{_ITEM}>"))
+        return F.concat(done, F.when(F.size(new) > 0, F.transform(new, lambda x: item(x["kind"], x["text"], s["due"]))).otherwise(question))
 
+    def told(line: Column) -> Column:
+        asks = F.contains(line, F.lit("?")) & ~low(line).rlike("^(?:" + any_of(PLEASANTRIES) + ")")
+        return F.struct(asks.alias("asks"), candidates(line).alias("found"), _deadline(line).alias("due"), F.regexp_replace(line, r"\?+$", "").alias("asked"))
+
+    # Only sentences that give anything go on to the fold.
     lines = F.filter(_sentences(body), lambda x: ~low(x).rlike(any_of(VOIDED)))
-    told = F.transform(lines, lambda x: F.struct(x.alias("line"), candidates(x).alias("found"), _deadline(x).alias("due"), F.regexp_replace(x, r"\?+$", "").alias("asked")))
-    return F.aggregate(told, F.array().cast(f"array<{_ITEM}>"), step)
+    giving = F.filter(F.transform(lines, told), lambda x: x["asks"] | (F.size(x["found"]) > 0))
+    return F.aggregate(giving, F.array().cast(f"array<{_ITEM}>"), step)
 
 
 def action_items(threads: DataFrame, user: str = "") -> DataFrame:

@@ -422,7 +422,7 @@ def message_templates(spark, d):
 
 
 def pattern_best_match(spark, d):
-    counts = messages.template_counts(table(spark, d, "sample_messages_for_triage").select(F.col("snippet").alias("text"))).where("template <> ''")
+    counts = checkpointed(messages.template_counts(table(spark, d, "sample_messages_for_triage").select(F.col("snippet").alias("text"))).where("template <> ''"))
     return messages.best_patterns(counts.select(F.col("template").alias("draft")), counts.where("n_messages >= 3").select(F.col("template").alias("pattern")))
 
 
