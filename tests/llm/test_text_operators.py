@@ -579,6 +579,60 @@ def test_ancestors_of_the_tables_are_found(spark, folder):
     assert held > 100 and proven >= 0.9 * held
 
 
+def test_runs_of_pairs(monkeypatch):
+    """Against one pair at a time, also where pairs are taken in slices."""
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice("abc") for _ in range(rng.randrange(60)))
+    for at_once in [quoting.COMPARED_AT_ONCE, 7] * 60:
+        monkeypatch.setattr(quoting, "COMPARED_AT_ONCE", at_once)
+        a, b = ([text() for _ in range(rng.randrange(1, 5))] for _ in range(2))
+        pairs = [(i, j) for i in range(len(a)) for j in range(len(b)) if i == j or rng.random() < 0.7]
+        pairs = [p for p in pairs if p[1] < len(b)] or [(0, 0)]
+        expected = {(i, *r) for i, j in pairs for r in quoting.shared_runs(quoting.windows_of(a[i].split()), b[j].split())}
+        assert set(zip(*quoting.runs_of_pairs(a, b, np.array(pairs).T).tolist(), strict=True)) == expected
+
+
+def test_squeezed_arrays():
+    arrays = [np.array([5, -1, 1 << 40]), np.empty(0, np.uint16), np.array([7], np.uint8), *quoting._flat(["ä\n", "", "x"])]
+    back = quoting._arrays(quoting._squeezed(*arrays))
+    assert all(a.dtype == b.dtype and a.tolist() == b.tolist() for a, b in zip(arrays, back, strict=True)) and quoting._split(*back[3:]) == ["ä\n", "", "x"]
+
+
+def test_quoting_of_messages_without_ids(spark):
+    messages = spark.createDataFrame([("t", None, None, "> a\nb", None)], "ref_table string, record_id string, msg_index int, body string, at long")
+    assert [tuple(r) for r in quoting.new_text(messages).collect()] == [("t", None, None, "b")]
+
+
+def test_quoting_needs_little_disk(spark, monkeypatch):
+    """Shuffled and checkpointed bytes of threads whose mails quote each other, as a share of the bodies; also over many packs
+    and buckets, which change no line."""
+    rng = random.Random(13)
+    rows, size = [], 0
+    for t in range(250):
+        body = ""
+        for i in range(8):
+            body = " ".join(rng.choice(WORDS) + str(rng.randrange(999)) for _ in range(40)) + "".join(f"\n> {line}" for line in body.split("\n") if line)
+            rows.append(("t", f"t{t}", i, body, 100 * i + t % 7))
+            size += len(body)
+    messages = spark.createDataFrame(rows, "ref_table string, record_id string, msg_index int, body string, at long").coalesce(1)
+    context = spark.sparkContext._jsc.sc()
+    quoting.checkpointed(spark.range(1))
+    folder = Path(context.getCheckpointDir().get().removeprefix("file:"))
+
+    def written():
+        context.listenerBus().waitUntilEmpty(30_000)
+        executors = context.statusStore().executorList(True)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size())) + sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+
+    before = written()
+    found = {tuple(r) for r in quoting.judged_lines(messages).collect()}
+    assert written() - before < 3 * size
+    assert found == {("t", f"t{t}", i, k, "ancestor") for t in range(250) for i in range(8) for k in range(2, i + 2)}
+    monkeypatch.setattr(quoting, "PACK", size // 40)
+    monkeypatch.setattr(quoting, "BUCKET", size // 40)
+    assert {tuple(r) for r in quoting.judged_lines(messages.repartition(3)).collect()} == found
+
+
 def test_llm_is_optional():
     """The entry module imports without the subpackage."""
     import importlib
